@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, media, mixing, simhash, url_filter
+from . import decontaminate, html_extract, licenses, media, mixing, simhash, token_count, url_filter
 from .common import read_table
 
 
@@ -12,6 +14,14 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read_table(spark, sf_dir, "documents"))
 
 
+#: Path of the tokenizer's file on driver and executors.
+TOKENIZER = os.environ.get("TOKENIZER_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(read_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 #: (host, path, verdict), fixed by the query's contract.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -33,10 +43,14 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(read_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_url_filter, op4_media_columns, op5_mix_sources, op7_decontaminate, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_url_filter, op4_media_columns, op5_mix_sources, op7_decontaminate, op8_html_text, op10_simhash)}
 
 ORACLE_SQL = {"op3_url_filter": url_filter.ORACLE_SQL, "op5_mix_sources": mixing.ORACLE_SQL}
