@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, licenses, media, mixing, simhash, token_count, url_filter
+from . import decontaminate, html_extract, language, licenses, media, mixing, simhash, token_count, toxicity, url_filter
 from .common import read_table
 
 
@@ -39,6 +39,12 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels.where(~toxicity.held_out()))
+    return toxicity.toxicity_scores(docs, model)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
 
@@ -47,10 +53,15 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(read_table(spark, sf_dir, "pages"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language.identify(docs, language.learn(docs))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(read_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_url_filter, op4_media_columns, op5_mix_sources, op7_decontaminate, op8_html_text, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_url_filter, op4_media_columns, op5_mix_sources, op6_toxicity, op7_decontaminate, op8_html_text, op9_language, op10_simhash)}
 
 ORACLE_SQL = {"op3_url_filter": url_filter.ORACLE_SQL, "op5_mix_sources": mixing.ORACLE_SQL}
