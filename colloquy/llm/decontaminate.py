@@ -225,10 +225,10 @@ def merge(found: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, row (a number per input row), n_words, n_hit, spans, items, near_items: one row per document."""
     spark = docs.sparkSession
-    keyed = docs if "row" in docs.columns else docs.withColumn("row", F.monotonically_increasing_id())
+    keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     tests = [spark.sparkContext.broadcast(make_windows(b, window)) for b in blocks_of(benchmark, block_bytes)]
     if len(tests) > 1:
-        keyed = written(keyed.select("row", "doc_id", "text"), "decontaminate")  # so that every block sees the same row numbers
+        keyed = written(keyed, "decontaminate")  # so that every block sees the same row numbers
     found = [search(build_index(keyed, t), t, slop) for t in tests]
     hits = found[0] if len(found) == 1 else merge(reduce(DataFrame.unionByName, found))
     n_hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
@@ -243,7 +243,8 @@ def digest(hits: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents with every hit word cut out of the text, columns as before; text between cuts stays as it is.
 
-    Cutting keeps what a document has besides the test passage. A document of which nothing but separators would be left goes.
+    Cutting keeps what a document has besides the test passage, and goes on where what is left forms a window again. A
+    document of which nothing but separators would be left goes. A column n_chars is the new text's length where it changed.
     """
     spark = docs.sparkSession
     tests = [spark.sparkContext.broadcast(make_windows(b, window)) for b in blocks_of(benchmark, block_bytes)]
@@ -259,18 +260,27 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, bloc
                 sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
                 for a, b in chunks(sizes):
                     part, own = batch.slice(a, b - a), texts.slice(a, b - a).to_pylist()
-                    bounds, terms, starts, positions = shard(own, numbers)
-                    window_, begin, _, _ = intersect(t, int(bounds[-1]), terms, starts, positions, 0, bounds)
-                    if len(begin):
+                    look, changed = list(range(b - a)), set()
+                    while look:
+                        bounds, terms, starts, positions = shard([own[i] for i in look], numbers)
                         n = int(bounds[-1])
-                        edge = np.bincount(begin, minlength=n + 1) - np.bincount(begin + t.lengths[window_], minlength=n + 1)
+                        found, begin, _, _ = intersect(t, n, terms, starts, positions, 0, bounds)
+                        edge = np.bincount(begin, minlength=n + 1) - np.bincount(begin + t.lengths[found], minlength=n + 1)
                         hit = np.cumsum(edge) > 0
-                        keep = np.ones(b - a, bool)
-                        for d in np.unique(np.searchsorted(bounds, begin, side="right") - 1).tolist():
-                            own[d] = without(own[d], hit[bounds[d] : bounds[d + 1] - 1])
-                            keep[d] = bool(words_of(own[d]))
-                        columns = [c if i != at else pa.array(own, pa.binary()).cast(part.column(at).type) for i, c in enumerate(part.columns)]
-                        part = pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(keep))
+                        again = np.unique(np.searchsorted(bounds, begin, side="right") - 1).tolist()
+                        for d in again:
+                            own[look[d]] = without(own[look[d]], hit[bounds[d] : bounds[d + 1] - 1])
+                        look = [look[d] for d in again]
+                        changed.update(look)
+                    if changed:
+                        columns = list(part.columns)
+                        columns[at] = pa.array(own, pa.binary()).cast(columns[at].type)
+                        if "n_chars" in names:
+                            k = names.index("n_chars")
+                            n_chars = pc.if_else(pa.array([i in changed for i in range(b - a)]), pc.utf8_length(columns[at].cast(pa.string())).cast(columns[k].type), columns[k])
+                            columns[k] = n_chars
+                        keep = pa.array([i not in changed or bool(words_of(own[i])) for i in range(b - a)])
+                        part = pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(keep)
                     yield part
 
         return run

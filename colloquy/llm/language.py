@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 #: Labelled documents that training uses at most (the first by hash), and words of each (spread over the whole text).
 SAMPLE_DOCS = 4000
 SAMPLE_WORDS = 60
@@ -278,14 +280,15 @@ def learn(docs: DataFrame) -> Model:
     return train(sample_of(training_rows(docs)))
 
 
-def identify(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of each document; with carry after all columns of docs, named as given by lang_pred and score."""
+def identify(docs: DataFrame, model: Model, carry: tuple[str, str] | None = None) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of each document; with carry all columns of docs, and the last two under those names."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     source = docs if carry else docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
     names = source.columns
     at = names.index("text")
     out_names = names if carry else ["doc_id", "held_out"]
+    label, score = carry or ("lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value)
@@ -297,7 +300,17 @@ def identify(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
                     reader.warm([t for t in texts if t])
                 found = [reader.predict(t) for t in texts]
                 columns = [part.column(names.index(c)) for c in out_names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([l for l, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*out_names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([l for l, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*out_names, label, score])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in out_names)
-    return source.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return source.mapInArrow(run, f"{fields}, `{label}` string, `{score}` double")
+
+
+def with_language(docs: DataFrame, model: Model, least: float = 0.5, languages: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows of docs in a determined language (one of languages, if given) that scores least or more, with the columns of docs."""
+    label = free_name(docs, "lang_pred")
+    score = free_name(docs, "lang_score")
+    found = identify(docs, model, (label, score)).where((F.col(label) != UNDETERMINED) & (F.col(score) >= least))
+    if languages is not None:
+        found = found.where(F.col(label).isin(*languages))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name
 
 #: Hash slices per source for the prefix sums.
 SLICES = 256
@@ -80,6 +80,25 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epoch
     return out.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"), "whole", "part", *[F.col(f"own.c{i}").alias(c) for i, c in enumerate(carry)])
 
 
+def mixture(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epochs: float = 3.0, seed: str = "mix") -> DataFrame:
+    """The mix itself: a row per repetition of a document, numbered from 0 in copy, with the columns of docs and n_words.
+
+    The last repetition of a document may hold only its first words, as far as its source's target goes. New columns
+    are named copy and n_words, or with underscores added where docs has such names.
+    """
+    own, copy, n_words = (free_name(docs, c) for c in ("own", "copy", "n_words"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(own)
+    taken = mix(docs.select("doc_id", "source", "text", whole), weights, max_epochs, seed, [own])
+    rows = taken.where((F.col("whole") > 0) | (F.col("part") > 0)).withColumn("copies", F.col("whole") + (F.col("part") > 0).cast("long"))
+    each = rows.select(own, "whole", "part", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("nth"))
+    text = F.col(f"`{own}`.`text`")
+    words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    partial = (F.col("nth") == F.col("whole")) & (F.col("part") < F.col("size"))
+    cut_text = F.when(partial, F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), "")).otherwise(text)
+    columns = [cut_text.alias(c) if c == "text" else F.col(f"`{own}`.`{c}`").alias(c) for c in docs.columns]
+    return each.select(*columns, F.col("nth").alias(copy), F.when(F.col("nth") == F.col("whole"), F.col("part")).otherwise(F.col("size")).alias(n_words))
+
+
 #: The order within a source spelt for DuckDB, with the same slices: slice number first, then the key.
 ORACLE_SQL = """
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,

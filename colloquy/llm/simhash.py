@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name, written
 
 SEED = 42
 SHINGLE = 3
@@ -59,14 +59,20 @@ def fingerprint(text: bytes | None, n: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (long) of each document."""
+def fingerprints(docs: DataFrame, carry: str | None = None) -> DataFrame:
+    """doc_id, fp (long) of each document; with carry all columns of docs, and the fingerprint under that name."""
+    source = docs if carry else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    names = source.columns
+    at, fp = names.index("text"), carry or "fp"
+    out_names = names if carry else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py()) for t in batch.column(1).cast(pa.binary())], pa.int64())], ["doc_id", "fp"])
+            found = pa.array([fingerprint(t.as_py()) for t in batch.column(at).cast(pa.binary())], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in out_names), found], [*out_names, fp])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in out_names)
+    return source.mapInArrow(run, f"{fields}, `{fp}` long")
 
 
 def syndrome(half: np.ndarray) -> np.ndarray:
@@ -210,17 +216,30 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def classes(nodes: DataFrame, threshold: int = 2) -> DataFrame:
+    """nodes (distinct fp, further columns) with label, the smallest fingerprint of their component."""
+    labels = components(cut(linked(nodes, threshold)))
+    return cut(nodes.join(labels, nodes["fp"] == labels["node"], "left").select(*nodes.columns, F.coalesce("label", "fp").alias("label")))
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 2) -> DataFrame:
     """doc_id, fp (long), component_id (smallest doc_id reachable), one row per document."""
     fps = cut(fingerprints(docs))
-    links = cut(linked(fps, threshold))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    labels = components(links)
-    grouped = cut(nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label")))
+    grouped = classes(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), threshold)
     names = cut(grouped.groupBy("label").agg(F.min("first_id").alias("component_id")))
     of_fp = cut(grouped.join(names, "label").select(F.col("fp").alias("its_fp"), "component_id"))
     return fps.join(of_fp, F.col("fp") == F.col("its_fp")).select("doc_id", "fp", "component_id")
 
 
+def deduplicated(docs: DataFrame, threshold: int = 2) -> DataFrame:
+    """One row of each component, with the columns of docs: the one of the smallest doc_id (nulls last, then the first row as read)."""
+    fp, row = free_name(docs, "fp"), free_name(docs, "row")
+    kept = written(fingerprints(docs, fp).withColumn(row, F.monotonically_increasing_id()), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(row).alias("row"))).alias("first")
+    grouped = classes(cut(kept.groupBy(F.col(fp).alias("fp")).agg(first)), threshold)
+    chosen = grouped.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return kept.join(chosen, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 #: Labelled documents that mining and training use at most: toxic ones up to a half of it and others up to a half, the first by hash.
 SAMPLE_DOCS = 12_000
 #: Mined voters at most, and features of the classifier at most.
@@ -231,22 +233,28 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def toxicity_scores(docs: DataFrame, model: Classifier, carry: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted; with carry all columns of docs and toxicity_score."""
+def toxicity_scores(docs: DataFrame, model: Classifier, carry: str | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted; with carry all columns of docs, and the score under that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs if carry else docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
     names = source.columns
     at = names.index("text")
     out_names = names if carry else ["doc_id", "held_out"]
-    score = "toxicity_score" if carry else "score"
+    score = carry or "score"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         evidence = Evidence(model.weights)
         for batch in batches:
             scores = [score_text(t.as_py(), model, evidence) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in out_names), pa.array(scores, pa.float64())], [*out_names, score])
+            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in out_names), pa.array(scores, pa.float64())], names=[*out_names, score])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in out_names)
     found = source.mapInArrow(run, f"{fields}, {score} double")
     return found if carry else found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def without_toxic(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score below the threshold, with the columns of docs; repeated rows stay."""
+    score = free_name(docs, "toxicity_score")
+    return toxicity_scores(docs, model, score).where(F.col(score) < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
