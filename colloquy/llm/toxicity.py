@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, written
 
 #: Labelled documents that mining and training use at most: toxic ones up to a half of it and others up to a half, the first by hash.
 SAMPLE_DOCS = 12_000
@@ -147,13 +147,13 @@ def fit_linear(features: list[np.ndarray], n_features: int, target: np.ndarray,
     return w, float(b)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Classifier:
-    """docs (doc_id, text) and labels (doc_id, toxic) of training rows only; a bounded sample of them comes to the driver as term lists."""
+def sample_words(docs: DataFrame, labels: DataFrame, sample_docs: int) -> DataFrame:
+    """doc_id, toxic, words (space-joined, distinct) and times of the bounded sample, written once; its size does not grow with docs."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("its_id")).agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("its_id"), F.col("its_id")]
     toxic = known.where("toxic = 1").orderBy(*order).limit(sample_docs // 2)
     clean = known.where("toxic <> 1").orderBy(*order).limit(sample_docs // 2)
-    sample = docs.join(F.broadcast(toxic.unionByName(clean)), F.col("doc_id") == F.col("its_id")).select(F.col("doc_id").cast("long"), (F.col("toxic") == 1).cast("int").alias("toxic"), "text")
+    sample = docs.join(F.broadcast(toxic.unionByName(clean)), F.col("doc_id") == F.col("its_id")).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).cast("int").alias("toxic"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,53 +161,95 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
             words, times = ([" ".join(w for w, _ in c) for c in counts], [[k for _, k in c] for c in counts])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.string()), pa.array(times, pa.list_(pa.int32()))], ["doc_id", "toxic", "words", "times"])
 
-    found = sample.mapInArrow(run, "doc_id long, toxic int, words string, times array<int>").toLocalIterator()
-    rows = sorted((r.doc_id, r.toxic, r.words, tuple(r.times)) for r in found)
-    return fit([(toxic, words, times) for _, toxic, words, times in rows])
+    return written(sample.mapInArrow(run, "doc_id long, toxic int, words string, times array<int>"), "toxicity-sample")
 
 
-def fit(rows: list[tuple[int, str, tuple[int, ...]]]) -> Classifier:
-    """rows: label, space-joined distinct words and how often each comes, of each training document."""
-    totals = [sum(1 for y, _, _ in rows if y == k) for k in (0, 1)]
-    if not totals[1]:
-        return Classifier(dict.fromkeys(LEXICON, 6.0), -4.0)
-    lexicon = [x for word in LEXICON for x in (word, word + "!")]
-    # Only terms of toxic documents can be voters or features; the rest are never counted.
-    toxic: Counter = Counter()
-    for y, words, times in rows:
-        if y:
-            toxic.update(features_of(dict(zip(words.split(), times)), terms_of_word))
+def terms_in_rows(batch: pa.RecordBatch, terms) -> Iterator[set[str]]:
+    """The terms of each row of a batch of sample_words."""
+    for words, times in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+        yield features_of(dict(zip(words.split(), times)), terms)
+
+
+def term_counts(sample: DataFrame, label: int, known=None) -> DataFrame:
+    """term, n: in how many documents of a label each term is. known: a broadcast set of terms, the only ones to be counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        terms = Evidence(known.value).__getitem__ if known else terms_of_word
+        for batch in batches:
+            for row in terms_in_rows(batch, terms):
+                found.update(row & known.value if known else row)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["term", "k"])
+
+    return sample.where(F.col("toxic") == label).mapInArrow(run, "term string, k long").groupBy("term").agg(F.sum("k").alias("n"))
+
+
+def feature_rows(sample: DataFrame, features: list[str]) -> list[tuple[int, np.ndarray]]:
+    """Label and numbers of the features of each sampled document, by doc_id."""
+    shared = sample.sparkSession.sparkContext.broadcast({x: i for i, x in enumerate(features)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = shared.value
+        terms = Evidence(number).__getitem__
+        for batch in batches:
+            rows = [np.array(sorted(number[x] for x in found if x in number), np.int32).tobytes() for found in terms_in_rows(batch, terms)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["doc_id", "toxic", "features"])
+
+    found = sample.mapInArrow(run, "doc_id long, toxic int, features binary").toLocalIterator()
+    rows = sorted((r.doc_id, r.toxic, bytes(r.features)) for r in found)
+    return [(toxic, np.frombuffer(x, np.int32)) for _, toxic, x in rows]
+
+
+def select_terms(toxic: dict[str, int], clean: dict[str, int], totals: tuple[int, int]) -> tuple[list[str], list[str]]:
+    """Voters and features (voters first) from the terms' document counts; totals: clean and toxic documents."""
     least = max(LEAST_SUPPORT, LEAST_SHARE * totals[1])
-    known_terms = {x for x, k in toxic.items() if k >= least} | set(lexicon)
-    evidence = Evidence(known_terms)
-    present = [features_of(dict(zip(words.split(), times)), evidence.__getitem__) & known_terms for _, words, times in rows]
-    clean: Counter = Counter()
-    for (y, _, _), found in zip(rows, present):
-        if not y:
-            clean.update(found)
+    lexicon = [x for word in LEXICON for x in (word, word + "!")]
+    known = toxic.keys() | set(lexicon)
 
     def strength(x: str) -> tuple[float, float]:
-        ratio = (toxic[x] / (totals[1] + 1)) / ((clean[x] + 1) / (totals[0] + 1))
-        return toxic[x] - clean[x] * totals[1] / max(totals[0], 1), ratio
+        yes, no = toxic.get(x, 0), clean.get(x, 0)
+        ratio = (yes / (totals[1] + 1)) / ((no + 1) / (totals[0] + 1))
+        return yes - no * totals[1] / max(totals[0], 1), ratio
 
-    strengths = {x: strength(x) for x in known_terms}
+    strengths = {x: strength(x) for x in known}
     # A beginning gives way to a longer one that has nearly all of its toxic documents and far fewer of the others.
-    blunt = {x for y in known_terms for x in shorter(y) if toxic[y] >= 0.8 * toxic[x] and clean[y] < 0.6 * clean[x]}
-    ranked = sorted((x for x in known_terms - blunt if strengths[x][1] >= LEAST_LIFT and toxic[x] >= least), key=lambda x: (-strengths[x][0], -strengths[x][1], x))
+    blunt = {x for y in known for x in shorter(y) if toxic.get(y, 0) >= 0.8 * toxic.get(x, 0) and clean.get(y, 0) < 0.6 * clean.get(x, 0)}
+    ranked = sorted((x for x in known - blunt if strengths[x][1] >= LEAST_LIFT and toxic.get(x, 0) >= least), key=lambda x: (-strengths[x][0], -strengths[x][1], x))
     voters = list(dict.fromkeys([*lexicon, *ranked[:MAX_VOTERS]]))
-    features = list(dict.fromkeys([*voters, *ranked[:MAX_FEATURES]]))
-    number = {x: i for i, x in enumerate(features)}
-    columns = [np.array(sorted(number[x] for x in found if x in number), np.int64) for found in present]
-    votes = np.zeros((len(rows), len(voters)), np.float32)
-    for i, p in enumerate(columns):
-        votes[i, p[p < len(voters)]] = 1
-    label_model = fit_label_model(votes, np.array([y for y, _, _ in rows], np.int64))
-    w, bias = fit_linear(columns, len(features), label_model.posterior(votes))
+    return voters, list(dict.fromkeys([*voters, *ranked[:MAX_FEATURES]]))
+
+
+def train(rows: list[tuple[int, np.ndarray]], n_voters: int, features: list[str]) -> Classifier:
+    """The label model on the votes, and the classifier on its posteriors."""
+    votes = np.zeros((len(rows), n_voters), np.float32)
+    for i, (_, found) in enumerate(rows):
+        votes[i, found[found < n_voters]] = 1
+    label_model = fit_label_model(votes, np.array([y for y, _ in rows], np.int64))
+    w, bias = fit_linear([found for _, found in rows], len(features), label_model.posterior(votes))
     return Classifier({x: float(v) for x, v in zip(features, w) if abs(v) > 1e-4}, bias)
 
 
+def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Classifier:
+    """docs (doc_id, text) and labels (doc_id, toxic) of training rows only.
+
+    The terms of the sample are counted on the executors; the driver gets the counts of those that enough toxic
+    documents have, and the numbers of at most MAX_FEATURES + MAX_VOTERS features of each sampled document.
+    """
+    sample = sample_words(docs, labels, sample_docs)
+    totals = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if not totals.get(1):
+        return Classifier(dict.fromkeys(LEXICON, 6.0), -4.0)
+    least = max(LEAST_SUPPORT, LEAST_SHARE * totals[1])
+    toxic = {r.term: r.n for r in term_counts(sample, 1).where(F.col("n") >= least).toLocalIterator()}
+    known = {*toxic, *LEXICON, *(x + "!" for x in LEXICON)}
+    shared = sample.sparkSession.sparkContext.broadcast(known)
+    clean = {r.term: r.n for r in term_counts(sample, 0, shared).toLocalIterator()}
+    voters, features = select_terms(toxic, clean, (totals.get(0, 0), totals[1]))
+    return train(feature_rows(sample, features), len(voters), features)
+
+
 class Evidence(dict):
-    """The known terms of each word seen so far."""
+    """The known terms (a set or dictionary) of each word seen so far."""
 
     LIMIT = 400_000
 
