@@ -51,9 +51,12 @@ class TestSet:
 
 
 def make_windows(items: list[tuple[str, bytes]], window: int) -> TestSet:
+    """items: name and text; texts of one name are one item, and a window that an item repeats counts once."""
     vocabulary: dict[bytes, int] = {}
+    names: dict[str, int] = {}
     rows, lengths, item_of = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for number, (_, text) in enumerate(items):
+    for name, text in items:
+        number = names.setdefault(name, len(names))
         words = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)], np.int32)
         if not len(words):
             continue
@@ -63,7 +66,7 @@ def make_windows(items: list[tuple[str, bytes]], window: int) -> TestSet:
             rows.append(np.lib.stride_tricks.sliding_window_view(words, window))
         lengths.append(np.full(len(rows[-1]), min(window, len(words)), np.int64))
         item_of.append(np.full(len(rows[-1]), number, np.int64))
-    return TestSet(vocabulary, np.concatenate(rows), np.concatenate(lengths), np.concatenate(item_of), [name for name, _ in items])
+    return TestSet(vocabulary, np.concatenate(rows), np.concatenate(lengths), np.concatenate(item_of), list(names))
 
 
 class Numbers(dict):

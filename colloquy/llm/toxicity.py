@@ -8,7 +8,7 @@ in the others. A voter fires on a document that has its term, and abstains else.
 The label model (`LabelModel`) has a class prior and, per voter and class, the chance to fire (its accuracy). It is fitted by
 expectation maximisation over the votes on a bounded sample of documents, in which a known label is one more, more
 trustworthy voter. Voters are not independent (a word's beginnings fire together): correlations within the classes are
-estimated from the residual votes, and each voter's evidence is divided by its correlated company. Its posteriors, not
+estimated from the residual votes (of labelled documents, if there are enough), and each voter's evidence is divided by its correlated company. Its posteriors, not
 the labels, are what the linear classifier (`Classifier`, logistic regression over term presence) is trained on; the
 classifier scores every document from its whole text.
 
@@ -42,6 +42,8 @@ LEAST_SHARE = 0.005
 LEAST_LIFT = 8.0
 LEXICON = ("idiot", "moron", "stupid", "scum", "trash", "pathetic", "worthless", "disgusting", "loser", "clown")
 THRESHOLD = 0.7
+#: Labels of each class from which on correlations are estimated on labelled documents alone.
+ENOUGH_LABELS = 20
 #: A text is dense in a term that at least one of so many words has.
 DENSE = 200
 _WORD = re.compile(r"[^\W\d_]+")
@@ -97,11 +99,12 @@ class LabelModel:
 def fit_label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 15, trust: float = 0.97) -> LabelModel:
     """votes: documents by voters, 0 or 1. known: 1, 0, or -1 where there is no label; a label is right with chance trust."""
     labelled = known >= 0
-    prior = float(np.clip(known[labelled].mean() if labelled.any() else 0.1, 0.01, 0.5))
+    prior = rate = float(np.clip(known[labelled].mean() if labelled.any() else 0.1, 0.01, 0.5))
     evidence = np.where(known == 1, np.log(trust / (1 - trust)), np.where(known == 0, np.log((1 - trust) / trust), 0.0))
     # To begin with, labels where there are any, else any vote at all.
     belief = np.where(labelled, np.clip(known, 0.03, 0.97), np.where(votes.any(axis=1), 0.6, 0.05))
     none = ~votes.any(axis=1)
+    enough = min((known == 0).sum(), (known == 1).sum()) >= ENOUGH_LABELS
     for _ in range(rounds):
         weight = np.stack([1 - belief, belief])
         total = weight.sum(axis=1)
@@ -110,14 +113,25 @@ def fit_label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 15, trus
         fire[0] = np.minimum(fire[0], fire[1])
         fire = np.clip(fire, 1e-5, 1 - 1e-5)
         silent = np.clip((weight @ none + 0.5) / (total + 1), 1e-3, 1.0)
-        residual = votes - belief[:, None] * fire[1] - (1 - belief)[:, None] * fire[0]
+        # Correlations come from documents of known class; beliefs that are still wrong would make good voters look alike.
+        v, p = (votes[labelled], known[labelled]) if enough else (votes, belief)
+        residual = v - p[:, None] * fire[1] - (1 - p)[:, None] * fire[0]
         spread = np.sqrt((residual * residual).sum(axis=0)) + 1e-9
         correlations = residual.T @ residual / np.outer(spread, spread)
         share = 1 / np.maximum(1.0, np.where(correlations > 0.3, correlations, 0.0).sum(axis=1))
         model = LabelModel(prior, fire, silent, share, correlations)
         p = np.clip(model.posterior(votes), 1e-9, 1 - 1e-9)
-        belief = 1 / (1 + np.exp(-np.clip(np.log(p / (1 - p)) + evidence, -50, 50)))
-        prior = float(np.clip(belief.mean(), 0.01, 0.5))
+        odds = np.log(p / (1 - p))
+        if labelled.any():
+            # The share of the toxic class is what the labels say; else each round's beliefs would lift the next one's.
+            low, high = -30.0, 30.0
+            for _ in range(40):
+                mid = (low + high) / 2
+                low, high = (mid, high) if (1 / (1 + np.exp(-np.clip(odds + mid, -50, 50)))).mean() < rate else (low, mid)
+            odds += low
+            model.prior = float(np.clip(1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + low))), 1e-6, 1 - 1e-6))
+        belief = 1 / (1 + np.exp(-np.clip(odds + evidence, -50, 50)))
+        prior = model.prior if labelled.any() else float(np.clip(belief.mean(), 0.01, 0.5))
     return model
 
 
