@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import traffic as K
 from ..operators import analytics as A
+from ..operators import fallback as B
 from ..operators import health as H
 from ..operators import joins as J
 from ..operators import normalise as N
@@ -172,6 +174,44 @@ query("scl_32_truncated", None, "documents")(lambda d: d.where(T.looks_truncated
 query("agg_18_session_tags", "SELECT session_id, CAST(coalesce(sum(token_estimate), 0) AS BIGINT) AS total_tokens, coalesce(array_to_string(list_sort(list(DISTINCT model_name) FILTER (model_name IS NOT NULL)), ','), '') AS models FROM messages GROUP BY 1", "messages")(lambda m: S.tags(m).select("session_id", "total_tokens", "models"))
 query("scl_11_topics", None, "messages")(lambda m: S.tags(m).select("session_id", "language", "topics"))
 
+# --- traffic, failures, aliases: bodies and lines are made from the tables by number ---
+
+
+def _aliases(m: DataFrame) -> DataFrame:
+    attributes = F.create_map(F.lit("openinference.span.kind"), F.lit("LLM"), F.lit("llm.model_name"), F.col("model_name"), F.lit("llm.token_count.prompt"), F.col("token_estimate").cast("string"), F.lit("session.id"), F.col("session_id").cast("string"), F.concat(F.lit("llm.input_messages."), "turn_index", F.lit(".message.role")), F.col("role"))
+    entries = F.transform(F.map_entries(K.genai_aliases(attributes)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return m.select("id", F.array_join(F.array_sort(entries), ",").alias("aliases"))
+
+
+query("scl_29_aliases", """SELECT id, array_to_string(list_sort(list_filter(['gen_ai.operation.name=chat', 'gen_ai.request.model=' || model_name, 'gen_ai.response.model=' || model_name, 'gen_ai.usage.input_tokens=' || token_estimate, 'llm.usage.prompt_tokens=' || token_estimate,
+'gen_ai.usage.total_tokens=' || token_estimate, 'llm.usage.total_tokens=' || token_estimate, 'gen_ai.conversation.id=' || session_id, 'gen_ai.prompt.' || turn_index || '.role=' || role], lambda x: x IS NOT NULL)), ',') AS aliases FROM messages""", "messages")(_aliases)
+
+
+def _traffic(c: DataFrame) -> DataFrame:
+    host = F.when(F.col("id") % 3 == 0, "api.openai.com").when(F.col("id") % 3 == 1, "llm-1.example").otherwise(F.col("host"))
+    body = F.when(F.col("id") % 5 == 0, '{"model":"m","messages":[]}').when(F.col("id") % 5 == 1, '{"prompt":"x","temperature":1}').when(F.col("id") % 5 == 2, F.col("body")).when(F.col("id") % 5 == 3, "plain text here")
+    found = c.select("id", K.ai_request(host, F.col("path"), F.lit("POST"), body).alias("found"))
+    return found.select("id", "found.confidence", F.array_join("found.reasons", "|").alias("reasons"))
+
+
+query("scl_30_ai_requests", r"""SELECT id, CASE WHEN id % 5 = 0 THEN 'high' WHEN id % 3 < 2 OR id % 5 = 1 THEN 'medium' END AS confidence,
+concat_ws('|', CASE id % 3 WHEN 0 THEN 'domain_pattern:.*\.openai\.com$' WHEN 1 THEN 'domain_pattern:.*llm.*\..*$' END, CASE id % 5 WHEN 0 THEN 'request_fields:messages+model' WHEN 1 THEN 'request_fields:prompt+temperature' END) AS reasons FROM captures""".replace("\\\\", "\\"), "captures")(_traffic)
+_MARKS = "len(regexp_extract_all(t, '(?im)^(?:{m})\\s*[:：]'))"
+_STYLE = " + ".join(f"CASE WHEN regexp_matches(t, '{p.replace('(?md)', '(?m)').replace(chr(39), chr(39) * 2)}') THEN 1 ELSE 0 END" for p in K.ANSWER_STYLE)
+query("scl_31_clipboard", f"""with x AS (SELECT id, concat('User: ', content_text, chr(10), 'Assistant: ', content_text) AS t FROM messages), y AS (SELECT id, length(t) AS n, {_MARKS.format(m=K.USER_MARKS)} AS u, {_MARKS.format(m=K.MODEL_MARKS)} AS a, {_STYLE} AS s, len(regexp_extract_all(t, '```')) AS f FROM x)
+SELECT id, CASE WHEN n >= 100 THEN least(100, CASE WHEN u + a >= 2 THEN 40 ELSE 0 END + CASE WHEN u > 0 AND a > 0 THEN 30 ELSE 0 END + least(s, 2) * 10 + CASE WHEN f >= 2 THEN 10 ELSE 0 END + CASE WHEN n > 500 THEN 5 ELSE 0 END + CASE WHEN n > 2000 THEN 5 ELSE 0 END) / 100.0::DOUBLE ELSE 0.0 END::DOUBLE AS score FROM y""", "messages")(lambda m: m.select("id", K.conversation_score(F.concat(F.lit("User: "), F.coalesce("content_text", F.lit("")), F.lit("\nAssistant: "), F.coalesce("content_text", F.lit("")))).alias("score")))
+query("scl_31_turns", None, "messages")(lambda m: m.select("id", F.size(K.conversation_messages(F.concat(F.lit("User: "), F.coalesce("content_text", F.lit("")), F.lit("\nAssistant: noted")))).alias("turns")))
+
+
+def _failures(e: DataFrame) -> DataFrame:
+    stderr = F.when(F.col("id") % 5 == 0, "Connection refused by peer").when(F.col("id") % 5 == 1, "KeyError: 'model'").when(F.col("id") % 5 == 2, "request timed out").when(F.col("id") % 5 == 3, "")
+    found = K.failure_class(F.col("id") % 7, stderr, F.when(F.col("id") % 2 == 0, "sign in to continue"), F.col("id") % 11, F.lit(10))
+    return e.select(found.alias("found")).groupBy("found.kind", "found.severity").agg(F.count("*").alias("n"))
+
+
+query("scl_35_failures", """with k AS (SELECT CASE WHEN id % 7 = 0 THEN 'UNKNOWN' WHEN id % 11 = 10 THEN 'RACE_TIMEOUT' WHEN id % 5 = 0 THEN 'INFRA' WHEN id % 5 = 1 THEN 'SCHEMA_DRIFT' WHEN id % 5 = 2 THEN 'RACE_TIMEOUT' WHEN id % 2 = 0 THEN 'LOGIN_WALL' ELSE 'UNKNOWN' END AS kind FROM errors)
+SELECT kind, CASE kind WHEN 'UNKNOWN' THEN 'info' WHEN 'RACE_TIMEOUT' THEN 'soft' ELSE 'hard' END AS severity, count(*) AS n FROM k GROUP BY 1, 2""", "errors")(_failures)
+
 # --- health ---
 
 _COUNTS = ", ".join(f"count(*) FILTER (status = '{s}') AS n_{s}" for s in H.STATUSES)
@@ -252,6 +292,22 @@ def _bodies(m: DataFrame, stream: bool) -> DataFrame:
 _BACK = "with p AS (SELECT *, lag(role) OVER w AS br, lag(content_text) OVER w AS bt FROM messages WINDOW w AS (PARTITION BY session_id ORDER BY turn_index)) SELECT id AS pair_id, 0 AS turn_index, br AS role, bt AS content_text FROM p WHERE role = 'assistant' AND br IS NOT NULL UNION ALL SELECT id, 1, role, content_text FROM p WHERE role = 'assistant' AND br IS NOT NULL AND content_text <> ''"
 query("nrm_01_pairs", _BACK, "messages")(lambda m: N.normalised(_bodies(m, False)).select("pair_id", "turn_index", "role", "content_text"))
 query("nrm_09_event_streams", _BACK, "messages")(lambda m: N.normalised(_bodies(m, True)).select("pair_id", "turn_index", "role", "content_text"))
+
+
+def _odd_bodies(m: DataFrame) -> DataFrame:
+    """Each message as the request of one of three shapes, by its turn."""
+    text = F.col("content_text")
+    shape = F.col("turn_index") % 3
+    chat = F.to_json(F.struct(F.lit("m1").alias("model"), F.array(F.struct("role", text.alias("content"))).alias("messages")))
+    parts = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(text.alias("text"))).alias("parts"))).alias("contents")))
+    response = F.when(shape == 0, '{"choices":[{"message":{"content":"fine"}}]}').when(shape == 1, '{"candidates":[{"content":{"parts":[{"text":"fine"}]}}]}').otherwise('{"output":"fine"}')
+    request = F.when(shape == 0, chat).when(shape == 1, parts).otherwise(F.to_json(F.struct(text.alias("prompt"))))
+    return m.where("length(trim(content_text)) > 3 and content_text not like '[%'").select(F.col("id").alias("pair_id"), F.lit("x.example").alias("host"), request.alias("request"), response.alias("response"))
+
+
+query("nrm_06_recovered", """with p AS (SELECT *, turn_index % 3 AS s FROM messages WHERE length(trim(content_text)) > 3 AND content_text NOT LIKE '[%'),
+c AS (SELECT *, CASE s WHEN 0 THEN 'chat' WHEN 1 THEN 'parts' ELSE 'bare' END AS shape, CASE s WHEN 0 THEN CASE WHEN role = 'user' THEN 0.65 ELSE 0.45 END WHEN 1 THEN 0.7 ELSE 0.35 END::DOUBLE AS confidence FROM p)
+SELECT id AS pair_id, shape, 0 AS turn_index, CASE WHEN s = 0 THEN role ELSE 'user' END AS role, content_text, confidence FROM c UNION ALL SELECT id, shape, 1, 'assistant', 'fine', confidence FROM c""", "messages")(lambda m: B.recovered_messages(_odd_bodies(m)))
 query("nrm_13_merged", "SELECT session_id, role, arg_max(content_text, length(content_text)) AS content_text, max(token_estimate) AS token_estimate FROM messages GROUP BY session_id, role, substr(content_text, 1, 200)", "messages")(lambda m: N.merged(m.withColumn("token_estimate", F.lit(None).cast("int")), m).select("session_id", "role", "content_text", "token_estimate"))
 query("nrm_15_import", "SELECT session_id, role, substr(content_text, 1, 200) AS head FROM messages GROUP BY ALL", "messages")(lambda m: S.set_new(_twice(m).limit(0), _twice(m)).select("session_id", "role", F.substring("content_text", 1, 200).alias("head")))
 query("snk_05_upsert", "SELECT id, CASE WHEN id % 3 = 0 THEN 'new' ELSE direction END AS direction FROM captures", "captures")(lambda c: X.upserted(c.select("id", "direction"), c.where("id % 3 = 0").select("id", F.lit("new").alias("direction")), ["id"]))
