@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import rich as C
 from ..functions import text as T
 from ..functions import traffic as K
 from ..operators import analytics as A
@@ -18,6 +19,7 @@ from ..operators import health as H
 from ..operators import joins as J
 from ..operators import normalise as N
 from ..operators import quality as Q
+from ..operators import schemas as M
 from ..operators import search as R
 from ..operators import sessions as S
 from ..operators import state as G
@@ -212,6 +214,17 @@ def _failures(e: DataFrame) -> DataFrame:
 query("scl_35_failures", """with k AS (SELECT CASE WHEN id % 7 = 0 THEN 'UNKNOWN' WHEN id % 11 = 10 THEN 'RACE_TIMEOUT' WHEN id % 5 = 0 THEN 'INFRA' WHEN id % 5 = 1 THEN 'SCHEMA_DRIFT' WHEN id % 5 = 2 THEN 'RACE_TIMEOUT' WHEN id % 2 = 0 THEN 'LOGIN_WALL' ELSE 'UNKNOWN' END AS kind FROM errors)
 SELECT kind, CASE kind WHEN 'UNKNOWN' THEN 'info' WHEN 'RACE_TIMEOUT' THEN 'soft' ELSE 'hard' END AS severity, count(*) AS n FROM k GROUP BY 1, 2""", "errors")(_failures)
 
+query("scl_34_shape", """SELECT '$' AS path, NULL AS parent, 'object' AS types, count(*) AS n, false AS required FROM captures WHERE json_valid(body)
+UNION ALL SELECT '$.k', '$', 'integer', count(body ->> '$.k'), count(body ->> '$.k') >= count(*) FROM captures WHERE json_valid(body)""", "captures")(lambda c: M.shape_of(c, "body"))
+
+
+def _merged_keys(m: DataFrame) -> DataFrame:
+    file = lambda n: F.concat(F.lit('{"attachments":[{"type":"file","name":"f'), (F.col("turn_index") % n).cast("string"), F.lit('"}]}'))
+    return m.select("id", F.array_join(C.attachment_keys(C.merged_content(file(3), file(2))), ",").alias("keys"))
+
+
+query("scl_23_merged", "SELECT id, concat_ws(',', 'file:name:f' || turn_index % 3, CASE WHEN turn_index % 3 <> turn_index % 2 THEN 'file:name:f' || turn_index % 2 END) AS keys FROM messages", "messages")(_merged_keys)
+
 # --- health ---
 
 _COUNTS = ", ".join(f"count(*) FILTER (status = '{s}') AS n_{s}" for s in H.STATUSES)
