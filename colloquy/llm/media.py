@@ -91,7 +91,9 @@ def decode(media: bytes) -> np.ndarray:
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    """The store of a path; a path without a scheme is a local or mounted one."""
+    """The store of a path; a path without a scheme is a local or mounted one, also where it is spelt `file:/path`."""
+    if path.startswith("file:") and not path.startswith("file://"):
+        path = path.removeprefix("file:")
     return pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
