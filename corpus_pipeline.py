@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import decontaminate, language, mixing, simhash, toxicity
+from colloquy.llm import decontaminate, language, mixing, near_copies, toxicity
 from colloquy.llm.common import read_table, written
 
 
@@ -25,8 +25,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group."""
-    return simhash.deduplicated(docs)
+    """The document of the smallest doc_id of each group of texts whose five-word shingles have a similarity of 0.8 or more."""
+    return near_copies.deduplicated(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
