@@ -7,7 +7,8 @@ in the others. A voter fires on a document that has its term, and abstains else.
 
 The label model (`LabelModel`) has a class prior and, per voter and class, the chance to fire (its accuracy). It is fitted by
 expectation maximisation over the votes on a bounded sample of documents, in which a known label is one more, more
-trustworthy voter. Voters are not independent (a word's beginnings fire together): correlations within the classes are
+trustworthy voter. Sampled documents are weighed back to the counts of both classes over all training labels, so the
+prior is the labels' own at every size of the table. Voters are not independent (a word's beginnings fire together): correlations within the classes are
 estimated from the residual votes (of labelled documents, if there are enough), and each voter's evidence is divided by its correlated company. Its posteriors, not
 the labels, are what the linear classifier (`Classifier`, logistic regression over term presence) is trained on; the
 classifier scores every document from its whole text.
@@ -96,10 +97,14 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
 
 
-def fit_label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 15, trust: float = 0.97) -> LabelModel:
-    """votes: documents by voters, 0 or 1. known: 1, 0, or -1 where there is no label; a label is right with chance trust."""
+def fit_label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 15, trust: float = 0.97, stands_for: np.ndarray | None = None) -> LabelModel:
+    """votes: documents by voters, 0 or 1. known: 1, 0, or -1 where there is no label; a label is right with chance trust.
+
+    stands_for: how many documents each one of the sample stands for, 1 if not given. It weighs shares, not how sure they are.
+    """
     labelled = known >= 0
-    prior = rate = float(np.clip(known[labelled].mean() if labelled.any() else 0.1, 0.01, 0.5))
+    times = np.ones(len(known)) if stands_for is None else stands_for
+    prior = rate = float(np.clip(np.average(known[labelled], weights=times[labelled]) if labelled.any() else 0.1, 0.01, 0.5))
     evidence = np.where(known == 1, np.log(trust / (1 - trust)), np.where(known == 0, np.log((1 - trust) / trust), 0.0))
     # To begin with, labels where there are any, else any vote at all.
     belief = np.where(labelled, np.clip(known, 0.03, 0.97), np.where(votes.any(axis=1), 0.6, 0.05))
@@ -108,14 +113,16 @@ def fit_label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 15, trus
     for _ in range(rounds):
         weight = np.stack([1 - belief, belief])
         total = weight.sum(axis=1)
-        fire = (weight @ votes + 0.05) / (total[:, None] + 0.5)
+        share = weight * times
+        share *= (total / share.sum(axis=1))[:, None]
+        fire = (share @ votes + 0.05) / (total[:, None] + 0.5)
         # A voter speaks for the toxic class only: it fires there at least as often.
         fire[0] = np.minimum(fire[0], fire[1])
         fire = np.clip(fire, 1e-5, 1 - 1e-5)
-        silent = np.clip((weight @ none + 0.5) / (total + 1), 1e-3, 1.0)
+        silent = np.clip((share @ none + 0.5) / (total + 1), 1e-3, 1.0)
         # Correlations come from documents of known class; beliefs that are still wrong would make good voters look alike.
         v, p = (votes[labelled], known[labelled]) if enough else (votes, belief)
-        residual = v - p[:, None] * fire[1] - (1 - p)[:, None] * fire[0]
+        residual = (v - p[:, None] * fire[1] - (1 - p)[:, None] * fire[0]) * np.sqrt(times[labelled] if enough else times)[:, None]
         spread = np.sqrt((residual * residual).sum(axis=0)) + 1e-9
         correlations = residual.T @ residual / np.outer(spread, spread)
         share = 1 / np.maximum(1.0, np.where(correlations > 0.3, correlations, 0.0).sum(axis=1))
@@ -127,11 +134,11 @@ def fit_label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 15, trus
             low, high = -30.0, 30.0
             for _ in range(40):
                 mid = (low + high) / 2
-                low, high = (mid, high) if (1 / (1 + np.exp(-np.clip(odds + mid, -50, 50)))).mean() < rate else (low, mid)
+                low, high = (mid, high) if np.average(1 / (1 + np.exp(-np.clip(odds + mid, -50, 50))), weights=times) < rate else (low, mid)
             odds += low
             model.prior = float(np.clip(1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + low))), 1e-6, 1 - 1e-6))
         belief = 1 / (1 + np.exp(-np.clip(odds + evidence, -50, 50)))
-        prior = model.prior if labelled.any() else float(np.clip(belief.mean(), 0.01, 0.5))
+        prior = model.prior if labelled.any() else float(np.clip(np.average(belief, weights=times), 0.01, 0.5))
     return model
 
 
@@ -141,13 +148,14 @@ class Classifier:
     bias: float
 
 
-def fit_linear(features: list[np.ndarray], n_features: int, target: np.ndarray, rounds: int = 1000, decay: float = 2e-5) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft targets by full gradient steps with per-feature scaling."""
+def fit_linear(features: list[np.ndarray], n_features: int, target: np.ndarray, rounds: int = 1000, decay: float = 2e-5, stands_for: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft targets by full gradient steps with per-feature scaling. stands_for: as for the label model."""
     rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
     columns = np.concatenate(features) if features else np.zeros(0, np.int64)
     # A rare class weighs more, by the square root of how rare it is.
-    rare = max(float((target > 0.5).mean()), 1e-3)
-    weight = np.where(target > 0.5, min(5.0, np.sqrt((1 - rare) / rare)) if rare < 0.5 else 1.0, 1.0)
+    times = np.ones(len(target)) if stands_for is None else stands_for / stands_for.mean()
+    rare = max(float(np.average(target > 0.5, weights=times)), 1e-3)
+    weight = np.where(target > 0.5, min(5.0, np.sqrt((1 - rare) / rare)) if rare < 0.5 else 1.0, 1.0) * times
     w, b = np.zeros(n_features), -2.0
     scale_w, scale_b = np.full(n_features, 1e-12), 1e-12
     for _ in range(rounds):
@@ -161,9 +169,20 @@ def fit_linear(features: list[np.ndarray], n_features: int, target: np.ndarray,
     return w, float(b)
 
 
+def known_labels(labels: DataFrame) -> DataFrame:
+    """its_id and toxic, one row per labelled id."""
+    return labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("its_id")).agg(F.max("toxic").alias("toxic"))
+
+
+def class_counts(docs: DataFrame, labels: DataFrame) -> dict[int, int]:
+    """How many documents have each label, over all of them."""
+    found = docs.select("doc_id").join(known_labels(labels), F.col("doc_id") == F.col("its_id")).groupBy((F.col("toxic") == 1).cast("int").alias("toxic")).count()
+    return {r.toxic: r["count"] for r in found.collect()}
+
+
 def sample_words(docs: DataFrame, labels: DataFrame, sample_docs: int) -> DataFrame:
     """doc_id, toxic, words (space-joined, distinct) and times of the bounded sample, written once; its size does not grow with docs."""
-    known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("its_id")).agg(F.max("toxic").alias("toxic"))
+    known = known_labels(labels)
     order = [F.xxhash64("its_id"), F.col("its_id")]
     toxic = known.where("toxic = 1").orderBy(*order).limit(sample_docs // 2)
     clean = known.where("toxic <> 1").orderBy(*order).limit(sample_docs // 2)
@@ -233,13 +252,16 @@ def select_terms(toxic: dict[str, int], clean: dict[str, int], totals: tuple[int
     return voters, list(dict.fromkeys([*voters, *ranked[:MAX_FEATURES]]))
 
 
-def train(rows: list[tuple[int, np.ndarray]], n_voters: int, features: list[str]) -> Classifier:
-    """The label model on the votes, and the classifier on its posteriors."""
+def train(rows: list[tuple[int, np.ndarray]], n_voters: int, features: list[str], counts: dict[int, int]) -> Classifier:
+    """The label model on the votes, and the classifier on its posteriors. counts: all documents of each label, which rows are a sample of."""
     votes = np.zeros((len(rows), n_voters), np.float32)
     for i, (_, found) in enumerate(rows):
         votes[i, found[found < n_voters]] = 1
-    label_model = fit_label_model(votes, np.array([y for y, _ in rows], np.int64))
-    w, bias = fit_linear([found for _, found in rows], len(features), label_model.posterior(votes))
+    known = np.array([y for y, _ in rows], np.int64)
+    sampled = np.bincount(known, minlength=2)
+    stands_for = np.array([counts.get(y, 0) / max(int(sampled[y]), 1) for y in (0, 1)])[known]
+    label_model = fit_label_model(votes, known, stands_for=stands_for)
+    w, bias = fit_linear([found for _, found in rows], len(features), label_model.posterior(votes), stands_for=stands_for)
     return Classifier({x: float(v) for x, v in zip(features, w) if abs(v) > 1e-4}, bias)
 
 
@@ -259,7 +281,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     shared = sample.sparkSession.sparkContext.broadcast(known)
     clean = {r.term: r.n for r in term_counts(sample, 0, shared).toLocalIterator()}
     voters, features = select_terms(toxic, clean, (totals.get(0, 0), totals[1]))
-    return train(feature_rows(sample, features), len(voters), features)
+    return train(feature_rows(sample, features), len(voters), features, class_counts(docs, labels))
 
 
 class Evidence(dict):
