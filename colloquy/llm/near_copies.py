@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, free_name, written
@@ -153,7 +153,7 @@ def judged(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], ["a", "b", "near"])
 
     one, two = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, near boolean")
+    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, near boolean")
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
@@ -166,18 +166,19 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST)
     paired = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
     rows = nodes.join(paired, "node", "left_semi").select("node", F.col("first.row").alias("at"))
     texts = written(kept.select(F.col(row).alias("at"), "text").join(rows, "at").select("node", "text"), "near-copy-texts")
-    links, labels, take = None, None, 1
-    while not left.isEmpty():
-        # The likeliest pairs of each node first; most others then are inside one group and need no texts.
-        chosen = cut(left.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy("bits", "b"))).where(F.col("n") <= take).select("a", "b"))
-        near = cut(judged(chosen, texts, shingle, least).where("near").select("a", "b"))
-        links = near if links is None else links.unionByName(near)
+    grouped = nodes
+    if not left.isEmpty():
+        # The likeliest pair of each node first; most others then are inside one group and need no texts.
+        first_of = cut(left.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("best")).select("a", "best.b"))
+        links = cut(judged(first_of, texts, shingle, least).where("near").select("a", "b"))
         labels = components(links)
-        own = left.join(chosen, ["a", "b"], "left_anti")
+        open_pairs = left.join(first_of.hint("merge"), ["a", "b"], "left_anti")
         for x in "ab":
-            own = own.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")), x, "left")
-        left = cut(own.where("coalesce(label_a, a) <> coalesce(label_b, b)").select("a", "b", "bits"))
-        take *= 8
-    grouped = nodes if labels is None else nodes.join(labels, "node", "left").withColumn("node", F.coalesce("label", "node"))
+            open_pairs = open_pairs.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")).hint("merge"), x, "left")
+        rest = cut(open_pairs.where("coalesce(label_a, a) <> coalesce(label_b, b)").select("a", "b"))
+        more = cut(judged(rest, texts, shingle, least).where("near").select("a", "b"))
+        if not more.isEmpty():
+            labels = components(links.unionByName(more))
+        grouped = nodes.join(labels.hint("merge"), "node", "left").withColumn("node", F.coalesce("label", "node"))
     best = grouped.groupBy("node").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
     return kept.join(best, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
