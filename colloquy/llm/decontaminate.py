@@ -4,7 +4,9 @@ The training texts are indexed in shards: each shard is one chunk of documents w
 position space, with a posting list of positions per term of the test vocabulary (`build_index`). A shard is a row, so
 the index is an ordinary table: it can be written, reread and searched again. `search` intersects, shard by shard, the
 offset-adjusted posting lists of every test window, from the window's rarest term in that shard to its most common one,
-and so finds every exact occurrence; a window's rarest terms within `slop` words of one another are proximity matches.
+and so finds every exact occurrence; a window whose (up to) three rarest
+terms, by their counts in the whole test set, are in a document, the second and third within `slop` words of the
+rarest, is a proximity match there, whatever its other words and the other documents of the shard are.
 
 The test set is handled in blocks of at most `BLOCK_BYTES`, each broadcast with that proven bound; every block goes over
 all shards. No text, posting or document is shuffled; what the blocks find is merged per document.
@@ -19,6 +21,7 @@ clean; very long texts form a shard of their own. Other columns of the input may
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -48,10 +51,16 @@ class TestSet:
     lengths: np.ndarray
     item_of: np.ndarray
     items: list[str]
+    near: np.ndarray  # rows of an item and the rarest three terms of one of its windows (-1 pads)
 
 
-def make_windows(items: list[tuple[str, bytes]], window: int) -> TestSet:
-    """items: name and text; texts of one name are one item, and a window that an item repeats counts once."""
+def make_windows(items: list[tuple[str, bytes]], window: int, rarity: Counter | None = None) -> TestSet:
+    """items: name and text; texts of one name are one item, and a window that an item repeats counts once.
+
+    rarity: how often each word is in the whole test set (if not given, in items); ties go to the earlier word of a window.
+    """
+    if rarity is None:
+        rarity = word_counts(items)
     vocabulary: dict[bytes, int] = {}
     names: dict[str, int] = {}
     rows, lengths, item_of = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -66,7 +75,15 @@ def make_windows(items: list[tuple[str, bytes]], window: int) -> TestSet:
             rows.append(np.lib.stride_tricks.sliding_window_view(words, window))
         lengths.append(np.full(len(rows[-1]), min(window, len(words)), np.int64))
         item_of.append(np.full(len(rows[-1]), number, np.int64))
-    return TestSet(vocabulary, np.concatenate(rows), np.concatenate(lengths), np.concatenate(item_of), list(names))
+    windows, of_item = np.concatenate(rows), np.concatenate(item_of)
+    often = np.array([*(rarity[w] for w in vocabulary), np.iinfo(np.int64).max], np.int64)  # the last one is the padding's
+    rarest = np.take_along_axis(windows, np.argsort(often[windows], axis=1, kind="stable")[:, :3], axis=1)
+    near = np.unique(np.column_stack([of_item, rarest]).astype(np.int64), axis=0)
+    return TestSet(vocabulary, windows, np.concatenate(lengths), of_item, list(names), near)
+
+
+def word_counts(items: list[tuple[str, bytes]]) -> Counter:
+    return Counter(w for _, text in items for w in words_of(text))
 
 
 class Numbers(dict):
@@ -102,6 +119,30 @@ def expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - counts - starts, counts)
 
 
+def proximity(test: TestSet, first: np.ndarray, count: np.ndarray, key: np.ndarray, n_positions: int, positions: np.ndarray, slop: int, bounds: np.ndarray, candidates: int) -> tuple[np.ndarray, np.ndarray]:
+    """(item, document) where all rarest terms of a window are within slop of the rarest one; its other words don't matter."""
+    none = np.zeros(0, np.int64)
+    size = len(test.vocabulary)
+    terms = np.where(test.near[:, 1:] >= 0, test.near[:, 1:], size)
+    live = np.flatnonzero(((count[terms] > 0) | (terms == size)).all(axis=1))
+    found = [np.stack([none, none])]
+    for a, b in chunks(count[terms[live, 0]].tolist(), candidates):
+        n = count[terms[live[a:b], 0]]
+        row = np.repeat(live[a:b], n)
+        at = positions[expand(first[terms[live[a:b], 0]], n)].astype(np.int64)
+        doc = np.searchsorted(bounds, at, side="right") - 1
+        for k in range(1, terms.shape[1]):
+            other = terms[row, k]
+            base = other * (n_positions + 1)
+            # Next posting of the other term at or after the lowest place.
+            nxt = np.searchsorted(key, base + np.maximum(at - slop, bounds[doc]))
+            got = key[np.minimum(nxt, len(key) - 1)]
+            ok = (other == size) | ((nxt < len(key)) & (got <= base + np.minimum(at + slop, bounds[doc + 1] - 1)))
+            row, at, doc = row[ok], at[ok], doc[ok]
+        found.append(np.unique(np.stack([test.near[row, 0], doc]), axis=1))
+    return tuple(np.unique(np.concatenate(found, axis=1), axis=1))
+
+
 def intersect(test: TestSet, n_positions: int, terms: np.ndarray, starts: np.ndarray, positions: np.ndarray, slop: int, bounds: np.ndarray, candidates: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Exact matches (window, start) and proximity matches (item, document) of one shard."""
     none = np.zeros(0, np.int64)
@@ -110,6 +151,11 @@ def intersect(test: TestSet, n_positions: int, terms: np.ndarray, starts: np.nda
     size = len(test.vocabulary)
     first, count = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
     first[terms], count[terms] = starts[:-1], np.diff(starts)
+    near_i = near_d = none
+    if slop:
+        # Lists are sorted, so term and position make one sorted key.
+        key = np.repeat(terms.astype(np.int64), np.diff(starts)) * (n_positions + 1) + positions
+        near_i, near_d = proximity(test, first, count, key, n_positions, positions, slop, bounds, candidates)
     at = np.where(test.windows >= 0, test.windows, size)
     lists = np.where(test.windows >= 0, count[at], np.iinfo(np.int64).max)
     order = np.argsort(lists, axis=1, kind="stable")  # rarest first; padding last
@@ -118,7 +164,7 @@ def intersect(test: TestSet, n_positions: int, terms: np.ndarray, starts: np.nda
     # The lists by position: which term stands at a position. Membership in an offset-adjusted list is one look-up.
     held = np.full(n_positions + 1, -1, np.int32)
     held[positions] = np.repeat(terms, np.diff(starts))
-    found_w, found_s, near_i, near_d = [none], [none], [none], [none]
+    found_w, found_s = [none], [none]
     rare = lists[live, order[live, 0]]
     for a, b in chunks(rare.tolist(), candidates):
         w = live[a:b]
@@ -126,7 +172,6 @@ def intersect(test: TestSet, n_positions: int, terms: np.ndarray, starts: np.nda
         term = test.windows[w, offset]
         begin = positions[expand(first[term], count[term])] - np.repeat(offset, count[term])
         window = np.repeat(w, count[term])
-        near_w, near_p = window, begin + order[window, 0]
         # An occurrence that would leave the shard is none.
         ok = (begin >= 0) & (begin + test.lengths[window] <= n_positions)
         begin, window = begin[ok], window[ok]
@@ -137,22 +182,7 @@ def intersect(test: TestSet, n_positions: int, terms: np.ndarray, starts: np.nda
             begin, window = begin[ok], window[ok]
         found_w.append(window)
         found_s.append(begin)
-        if slop:
-            doc = np.searchsorted(bounds, near_p, side="right") - 1
-            for k in (1, 2):
-                if k < test.windows.shape[1]:
-                    other = test.windows[near_w, order[near_w, k]]
-                    low = np.maximum(near_p - slop, bounds[doc])
-                    # Next posting of the other term at or after low: lists are sorted, so term and position make one sorted key.
-                    key = np.repeat(terms.astype(np.int64), np.diff(starts)) * (n_positions + 1) + positions
-                    nxt = np.searchsorted(key, other.astype(np.int64) * (n_positions + 1) + low)
-                    got = np.where(nxt < len(key), key[np.minimum(nxt, len(key) - 1)], -1)
-                    ok = (other < 0) | (got <= other.astype(np.int64) * (n_positions + 1) + np.minimum(near_p + slop, bounds[doc + 1] - 1)) & (got >= 0)
-                    near_w, near_p, doc = near_w[ok], near_p[ok], doc[ok]
-            pairs = np.unique(np.stack([test.item_of[near_w], doc]), axis=1)
-            near_i.append(pairs[0])
-            near_d.append(pairs[1])
-    return np.concatenate(found_w), np.concatenate(found_s), np.concatenate(near_i), np.concatenate(near_d)
+    return np.concatenate(found_w), np.concatenate(found_s), near_i, near_d
 
 
 def build_index(docs: DataFrame, test) -> DataFrame:
@@ -229,7 +259,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop:
     """doc_id, row (a number per input row), n_words, n_hit, spans, items, near_items: one row per document."""
     spark = docs.sparkSession
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    tests = [spark.sparkContext.broadcast(make_windows(b, window)) for b in blocks_of(benchmark, block_bytes)]
+    blocks = list(blocks_of(benchmark, block_bytes))
+    rarity = sum((word_counts(b) for b in blocks), Counter())
+    tests = [spark.sparkContext.broadcast(make_windows(b, window, rarity)) for b in blocks]
     if len(tests) > 1:
         keyed = written(keyed, "decontaminate")  # so that every block sees the same row numbers
     found = [search(build_index(keyed, t), t, slop) for t in tests]
