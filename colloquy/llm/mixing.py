@@ -6,9 +6,12 @@ Within a source, `target // source_size` whole repetitions are taken, and the fr
 documents in a seeded pseudo-random order; the document on which the fraction ends gives its first words only. So each
 source's words meet its target to one word, and no document gives more than `max_epochs` times its size.
 
-Order within a source is that of md5(seed, doc_id). The prefix sums behind it run per (source, slice of the hash) with
-`SLICES` slices a source, so a source with a third of all rows is as many groups, not one. Sources are ranked by a
-range-partitioned sort, and the water level needs only sums: no list of sources or documents reaches the driver.
+Order within a source is that of md5(seed, doc_id), then size, then the text's hash. What a source's fraction needs is
+only where in that order it ends (`edges_of`): sums per slice of the hash name one slice, sums in that slice name a part
+of it, and there the documents are put in order, equal ones as one group. So no window runs over a source, no document
+is shuffled, and every row finds its share by comparing its place with its source's edge. Rows that are equal in id,
+size and text where a fraction ends are numbered in salted groups. Sources are ranked by a range-partitioned sort, and the water level
+needs only sums: no list of sources or documents reaches the driver.
 
 Defined cases: null text has size 0, null source is a source of its own (last in rank), null doc_id sorts as the empty
 string, repeated rows are documents of their own (equal ones in a stable but unspecified order among themselves),
@@ -20,10 +23,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_name
+from .common import cut, free_name, written
 
-#: Hash slices per source for the prefix sums.
+#: Hash slices per source, and leading hexadecimal digits of the key that part a slice again.
 SLICES = 256
+DIGITS = 3
+#: Up to so many sources their targets (a short row each) are broadcast; beyond, they are joined as any table.
+BROADCAST_SOURCES = 100_000
+#: Groups among which equal rows are numbered.
+SALTS = 256
 
 
 def size_of(text: Column) -> Column:
@@ -53,49 +61,103 @@ def water_level(sources: DataFrame, total: float, max_epochs: float) -> DataFram
         n_capped, capped = n, cap < F.col("weight") * F.lit(level)
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epochs: float = 3.0, seed: str = "mix", carry: list[str] | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, taken, whole (repetitions) and part (words of one more), with columns carry of docs.
+def keyed_of(docs: DataFrame, seed: str, own: Column | None = None) -> DataFrame:
+    """doc_id, source, size and the place in the source's order (slice, key, size, tie), with own if given."""
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    keyed = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), key.alias("key"), F.xxhash64("text").alias("tie"), *([own.alias("own")] if own is not None else []))
+    return keyed.withColumn("slice", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % SLICES).cast("int"))
 
-    Sources in code point order, null last, have the weights in turn.
-    """
-    carry = carry or []
-    own = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]) if carry else F.lit(None)
-    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), *([own.alias("own")] if carry else []))
-    sources = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
-    total = sources.agg(F.sum("source_size")).first()[0] or 0
+
+def with_source(rows: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
+    """rows and what sources (its_source, ...) say of their source."""
+    few = F.broadcast(sources) if n_sources <= BROADCAST_SOURCES else sources
+    return rows.join(few, rows["source"].eqNullSafe(sources["its_source"]))
+
+
+def running(rows: DataFrame, amount: str, before: str, *order: str) -> DataFrame:
+    """Adds the sum of amount over what comes earlier in its source."""
+    earlier = Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn(before, F.coalesce(F.sum(amount).over(earlier), F.lit(0)))
+
+
+def edges_of(keyed: DataFrame, slices: DataFrame, targets: DataFrame, n_sources: int) -> DataFrame:
+    """its_source, edge (a place), n (equal rows there) and left (words that they give): where each source's fraction ends."""
+    at = "rest >= before and rest < before + words"
+    slice_of = with_source(running(slices, "words", "before", "slice"), targets.select("its_source", "rest"), n_sources).where(at)
+    edge_slices = cut(slice_of.select("its_source", F.col("slice").alias("edge_slice"), "before", "rest"))
+    inside = with_source(keyed, edge_slices, n_sources).where("slice = edge_slice").drop("its_source")
+    groups = cut(inside.groupBy("source", "slice", "key", "size", "tie", "before", "rest").agg(F.count("*").alias("n")).withColumn("part", F.substring("key", 1, DIGITS)).withColumn("words", F.col("n") * F.col("size")))
+    parts = groups.groupBy("source", "part", "before", "rest").agg(F.sum("words").alias("words")).withColumnRenamed("before", "start")
+    edge_parts = running(parts, "words", "earlier", "part").withColumn("before", F.col("start") + F.col("earlier")).where(at).select(F.col("source").alias("its_source"), F.col("part").alias("edge_part"), F.col("before").alias("part_before"))
+    close = with_source(groups.drop("before"), edge_parts, n_sources).where("part = edge_part").drop("its_source")
+    last = running(close, "words", "earlier", "key", "size", "tie").withColumn("before", F.col("part_before") + F.col("earlier")).where(at)
+    return last.select(F.col("source").alias("its_source"), place().alias("edge"), "n", (F.col("rest") - F.col("before")).alias("left"))
+
+
+def place() -> Column:
+    return F.struct("slice", "key", "size", "tie")
+
+
+def plan_of(keyed: DataFrame, weights: tuple[float, ...], max_epochs: float) -> tuple[DataFrame, int]:
+    """Per source: its_source, source_size, target, whole, edge, n and left; and the number of sources."""
+    slices = cut(keyed.groupBy("source", "slice").agg(F.sum("size").alias("words")))
+    sources = cut(slices.groupBy("source").agg(F.sum("words").alias("source_size")))
+    total, n_sources = sources.agg(F.sum("source_size"), F.count("*")).first()
     rank = ranked(sources, [F.col("source").isNull().cast("int"), F.col("source")])
     weighted = cut(rank.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))))
-    targets = water_level(weighted, float(total), max_epochs)
+    targets = water_level(weighted, float(total or 0), max_epochs)
     targets = cut(targets.select(F.col("source").alias("its_source"), "source_size", F.round("target", 6).alias("target")).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")).withColumn("rest", F.when(F.col("source_size") > 0, F.round(F.col("target") - F.col("whole") * F.col("source_size"))).otherwise(0).cast("long")))
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    keyed = sized.withColumn("key", key).withColumn("slice", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % SLICES).cast("int"))
-    slices = keyed.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
-    bounds = cut(slices.select("source", "slice", (F.sum("slice_size").over(Window.partitionBy("source").orderBy("slice")) - F.col("slice_size")).alias("slice_before")))
-    plan = cut(bounds.join(targets, bounds["source"].eqNullSafe(targets["its_source"])).select("its_source", F.col("slice").alias("its_slice"), "slice_before", "source_size", "target", "whole", "rest"))
-    met = keyed.join(plan, keyed["source"].eqNullSafe(plan["its_source"]) & (F.col("slice") == F.col("its_slice")))
-    in_slice = Window.partitionBy("its_source", "its_slice").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("slice_before") + F.coalesce(F.sum("size").over(in_slice), F.lit(0))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - before)).cast("long")
-    out = met.withColumn("part", part)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"), "whole", "part", *[F.col(f"own.c{i}").alias(c) for i, c in enumerate(carry)])
+    edges = edges_of(keyed, slices, targets, n_sources).withColumnRenamed("its_source", "edge_source")
+    return cut(targets.join(edges, targets["its_source"].eqNullSafe(edges["edge_source"]), "left").drop("edge_source")), n_sources
+
+
+def placed(keyed: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
+    """Adds source_size, target, whole (repetitions) and part (words of one more) to each row."""
+    met = with_source(keyed, plan, n_sources).drop("its_source")
+    at_edge = F.coalesce(place() == F.col("edge"), F.lit(False))
+    # Without an edge the fraction is the whole source.
+    part = F.when(F.col("edge").isNull() | (place() < F.col("edge")), F.col("size")).when(at_edge, F.col("left")).otherwise(0)
+    if plan.where("n > 1").isEmpty():
+        return met.withColumn("part", part.cast("long"))
+    several = at_edge & (F.col("n") > 1)
+    equal = written(met.where(several).withColumn("row", F.monotonically_increasing_id()).withColumn("salt", F.pmod("row", F.lit(SALTS))), "mix-equal")
+    counts = equal.groupBy("source", "salt").agg(F.count("*").alias("many"))
+    offsets = cut(running(counts, "many", "offset", "salt").select(F.col("source").alias("its_source"), F.col("salt").alias("its_salt"), "offset"))
+    numbered = equal.join(offsets, equal["source"].eqNullSafe(offsets["its_source"]) & (F.col("salt") == F.col("its_salt"))).withColumn("nth", F.col("offset") + F.row_number().over(Window.partitionBy("source", "salt").orderBy("row")) - 1)
+    shared = numbered.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("nth") * F.col("size"))).cast("long"))
+    others = met.where(~several).withColumn("part", part.cast("long"))
+    return others.unionByName(shared.select(*others.columns))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epochs: float = 3.0, seed: str = "mix") -> DataFrame:
+    """doc_id, size, source_size, target, taken, whole (repetitions) and part (words of one more).
+
+    Sources in code point order, null last, have the weights in turn.
+    """
+    keyed = written(keyed_of(docs, seed), "mix-sizes")
+    out = placed(keyed, *plan_of(keyed, weights, max_epochs))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"), "whole", "part")
 
 
 def mixture(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epochs: float = 3.0, seed: str = "mix") -> DataFrame:
     """The mix itself: a row per repetition of a document, numbered from 0 in copy, with the columns of docs and n_words.
 
-    The last repetition of a document may hold only its first words, as far as its source's target goes. New columns
-    are named copy and n_words, or with underscores added where docs has such names.
+    The plan is made from numbers alone; texts are read once more and never shuffled. The one document of a source on
+    which its fraction ends gives, in its last repetition, only its first words, as far as the target goes (n_chars is
+    that text's length then). New columns are named copy and n_words, or with underscores added where docs has such names.
     """
-    own, copy, n_words = (free_name(docs, c) for c in ("own", "copy", "n_words"))
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(own)
-    taken = mix(docs.select("doc_id", "source", "text", whole), weights, max_epochs, seed, [own])
+    copy, n_words = (free_name(docs, c) for c in ("copy", "n_words"))
+    plan, n_sources = plan_of(written(keyed_of(docs, seed), "mix-sizes"), weights, max_epochs)
+    own = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    taken = placed(keyed_of(docs, seed, own), plan, n_sources)
     rows = taken.where((F.col("whole") > 0) | (F.col("part") > 0)).withColumn("copies", F.col("whole") + (F.col("part") > 0).cast("long"))
-    each = rows.select(own, "whole", "part", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("nth"))
-    text = F.col(f"`{own}`.`text`")
-    words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    each = rows.select("own", "whole", "part", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("nth"))
+    fields = {c: F.col(f"own.c{i}") for i, c in enumerate(docs.columns)}
     partial = (F.col("nth") == F.col("whole")) & (F.col("part") < F.col("size"))
-    cut_text = F.when(partial, F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), "")).otherwise(text)
-    columns = [cut_text.alias(c) if c == "text" else F.col(f"`{own}`.`{c}`").alias(c) for c in docs.columns]
+    words = F.regexp_extract_all(fields["text"], F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    first_words = F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), "")
+    changed = {"text": first_words, "n_chars": F.length(first_words).cast(dict(docs.dtypes).get("n_chars", "long"))}
+    columns = [(F.when(partial, changed[c]).otherwise(x) if c in changed else x).alias(c) for c, x in fields.items()]
     return each.select(*columns, F.col("nth").alias(copy), F.when(F.col("nth") == F.col("whole"), F.col("part")).otherwise(F.col("size")).alias(n_words))
 
 
