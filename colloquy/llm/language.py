@@ -1,17 +1,22 @@
 """Language identification by a bidirectional gated recurrent network over bytes, trained in numpy.
 
 A text is its lower-cased, white-space separated words; a word is a sequence of bytes (of at most `LONGEST`, longer ones
-are cut into several) between two boundary marks. A forward and a backward GRU read every sequence, and a softmax over
-both states labels every byte position with a language. A document's distribution is pooled from all its positions: the
-mean of their log probabilities, normalised again. `train` learns the network by backpropagation through time (Adam) on
+are cut into several, between characters) between two boundary marks. A forward and a backward GRU read every sequence,
+and a softmax over both states labels every byte position with a language. A document's distribution is pooled from all
+its positions: the mean of their log probabilities, sharpened as evidence adds up (by the square root of the number of
+positions, at most tenfold) and normalised again. `train` learns the network by backpropagation through time (Adam) on
 words of a bounded sample of labelled documents, each position labelled with its document's language.
 
-As sequences are words, a word's positions score the same wherever it stands; a task therefore reads a word once and
-remembers its sums, while every position of the whole text counts.
+The states begin anew at each word, so a word's positions score the same wherever it stands; a task therefore reads a
+word once and remembers its sums, while every position of the whole text counts.
+
+Training takes the same number of labelled documents from each language, by hash, `SAMPLE_DOCS` in all at most, and
+`SAMPLE_WORDS` words of each; equal rows count once there. Beyond `MAX_LANGUAGES` languages the commonest are learned.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; a language is whatever value the labels have;
-with no labelled document at all every text is `und`; ties go to the language that sorts first; repeated rows give
-repeated results; very long texts are pooled piece by piece; an empty table gives an empty result.
+with no labelled document at all every text is `und`; ties go to the language that sorts first; repeated rows and null
+or repeated ids give results of their own; very long texts are pooled piece by piece; an empty table gives an empty
+result; other columns are left aside, or carried along whatever their names.
 """
 
 from __future__ import annotations
@@ -22,14 +27,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from .common import free_name
 
-#: Labelled documents that training uses at most (the first by hash), and words of each (spread over the whole text).
+#: Labelled documents that training uses at most, words of each (spread over the whole text), and languages.
 SAMPLE_DOCS = 4000
 SAMPLE_WORDS = 60
+MAX_LANGUAGES = 200
 HIDDEN = 24
 EMBEDDING = 16
 STEPS = 500
@@ -49,7 +56,15 @@ class Model:
 
 
 def pieces_of(word: bytes) -> list[bytes]:
-    return [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
+    """The word in pieces of at most LONGEST bytes, cut between characters."""
+    out = []
+    while len(word) > LONGEST:
+        at = LONGEST
+        while at > LONGEST - 4 and word[at] & 0xC0 == 0x80:
+            at -= 1
+        out.append(word[:at])
+        word = word[at:]
+    return [*out, word]
 
 
 def initial(n_languages: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -261,8 +276,16 @@ def sample_of(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int
                 out.append([words[int(i * step)] for i in range(min(sample_words, len(words)))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.binary()))], ["lang", "words"])
 
-    chosen = docs.select("doc_id", "lang").where("lang is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).select(F.col("doc_id").alias("its_id")).distinct()
-    met = docs.where("lang is not null").join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("its_id"))).select("lang", "text")
+    known = docs.where("lang is not null")
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    quota = max(1, sample_docs // max(1, len(counts)))
+    # About twice the quota of each language by hash, then exactly the quota: what is ordered stays bounded.
+    key = F.xxhash64("doc_id", "text")
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, (2.0 * quota + 20) / r["count"]))]) if counts else F.lit(None)
+    drawn = known.select("lang", "text", key.alias("key")).where(F.pmod("key", F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * F.lit(float(1 << 30))) if counts else known.select("lang", "text", key.alias("key"))
+    keys = drawn.select("lang", "key").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("nth") <= quota)
+    chosen = keys.select(F.col("lang").alias("its_lang"), F.col("key").alias("its_key"))
+    met = drawn.join(F.broadcast(chosen), (F.col("lang") == F.col("its_lang")) & (F.col("key") == F.col("its_key"))).dropDuplicates(["lang", "key"]).select("lang", "text")
     rows = met.mapInArrow(run, "lang string, words array<binary>").toLocalIterator()
     return sorted((r.lang, [bytes(w) for w in r.words]) for r in rows)
 
@@ -302,8 +325,8 @@ def identify(docs: DataFrame, model: Model, carry: tuple[str, str] | None = None
                 columns = [part.column(names.index(c)) for c in out_names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([l for l, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*out_names, label, score])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in out_names)
-    return source.mapInArrow(run, f"{fields}, `{label}` string, `{score}` double")
+    schema = StructType([f for f in source.schema.fields if f.name in out_names]).add(label, StringType()).add(score, DoubleType())
+    return source.mapInArrow(run, schema)
 
 
 def with_language(docs: DataFrame, model: Model, least: float = 0.5, languages: tuple[str, ...] | None = None) -> DataFrame:
