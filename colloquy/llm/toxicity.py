@@ -13,9 +13,13 @@ estimated from the residual votes (of labelled documents, if there are enough),
 the labels, are what the linear classifier (`Classifier`, logistic regression over term presence) is trained on; the
 classifier scores every document from its whole text.
 
-Defined cases: null and empty texts have no terms and get the score of the intercept; without labelled toxic documents
-only the fixed lexicon votes; repeated rows and repeated labels count as they come (a document with both labels counts
-as toxic); null labels are no labels; very long texts are one set of terms; an empty table gives an empty result.
+Without labelled toxic documents the lexicon alone votes on a bounded sample of all documents, the label model is fitted
+on these votes without labels, and the classifier on its posteriors as ever.
+
+Defined cases: null and empty texts have no terms and get the score of the intercept; repeated rows are scored each, and
+a labelled id counts once in the sample (a document with both labels counts as toxic); null labels are no labels; very
+long texts are one set of terms; an empty table gives an empty result; other columns are left aside, or carried along
+whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from .common import free_name, written
 
@@ -186,7 +191,20 @@ def sample_words(docs: DataFrame, labels: DataFrame, sample_docs: int) -> DataFr
     order = [F.xxhash64("its_id"), F.col("its_id")]
     toxic = known.where("toxic = 1").orderBy(*order).limit(sample_docs // 2)
     clean = known.where("toxic <> 1").orderBy(*order).limit(sample_docs // 2)
-    sample = docs.join(F.broadcast(toxic.unionByName(clean)), F.col("doc_id") == F.col("its_id")).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).cast("int").alias("toxic"), "text")
+    return words_of_sample(docs.join(F.broadcast(toxic.unionByName(clean)), F.col("doc_id") == F.col("its_id")).select("doc_id", (F.col("toxic") == 1).cast("int").alias("toxic"), "text"))
+
+
+def unlabelled_words(docs: DataFrame, sample_docs: int) -> DataFrame:
+    """The same of the first documents by hash, with null for toxic."""
+    chosen = docs.select(F.xxhash64("doc_id", "text").alias("its_key")).distinct().orderBy("its_key").limit(sample_docs)
+    met = docs.join(F.broadcast(chosen), F.xxhash64("doc_id", "text") == F.col("its_key"))
+    return words_of_sample(met.select("doc_id", F.lit(None).cast("int").alias("toxic"), "text"))
+
+
+def words_of_sample(sample: DataFrame) -> DataFrame:
+    # Rows that share an id (or, without one, a text) are one document of the sample, so its bound holds.
+    first = sample.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("/"), F.xxhash64("text").cast("string"))).alias("key")).agg(F.min(F.struct(F.xxhash64("text").alias("hash"), F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text")).alias("first"))
+    sample = first.select("first.doc_id", "first.toxic", "first.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,8 +247,8 @@ def feature_rows(sample: DataFrame, features: list[str]) -> list[tuple[int, np.n
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["doc_id", "toxic", "features"])
 
     found = sample.mapInArrow(run, "doc_id long, toxic int, features binary").toLocalIterator()
-    rows = sorted((r.doc_id, r.toxic, bytes(r.features)) for r in found)
-    return [(toxic, np.frombuffer(x, np.int32)) for _, toxic, x in rows]
+    rows = sorted((r.doc_id is None, r.doc_id or 0, -1 if r.toxic is None else r.toxic, bytes(r.features)) for r in found)
+    return [(toxic, np.frombuffer(x, np.int32)) for *_, toxic, x in rows]
 
 
 def select_terms(toxic: dict[str, int], clean: dict[str, int], totals: tuple[int, int]) -> tuple[list[str], list[str]]:
@@ -253,13 +271,13 @@ def select_terms(toxic: dict[str, int], clean: dict[str, int], totals: tuple[int
 
 
 def train(rows: list[tuple[int, np.ndarray]], n_voters: int, features: list[str], counts: dict[int, int]) -> Classifier:
-    """The label model on the votes, and the classifier on its posteriors. counts: all documents of each label, which rows are a sample of."""
+    """The label model on the votes, and the classifier on its posteriors. counts: all documents of each label, which rows are a sample of; a label of -1 is none."""
     votes = np.zeros((len(rows), n_voters), np.float32)
     for i, (_, found) in enumerate(rows):
         votes[i, found[found < n_voters]] = 1
     known = np.array([y for y, _ in rows], np.int64)
-    sampled = np.bincount(known, minlength=2)
-    stands_for = np.array([counts.get(y, 0) / max(int(sampled[y]), 1) for y in (0, 1)])[known]
+    sampled = np.bincount(known[known >= 0], minlength=2)
+    stands_for = np.array([counts.get(y, 0) / max(int(sampled[y]), 1) for y in (0, 1)] + [1.0])[known]
     label_model = fit_label_model(votes, known, stands_for=stands_for)
     w, bias = fit_linear([found for _, found in rows], len(features), label_model.posterior(votes), stands_for=stands_for)
     return Classifier({x: float(v) for x, v in zip(features, w) if abs(v) > 1e-4}, bias)
@@ -274,7 +292,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     sample = sample_words(docs, labels, sample_docs)
     totals = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not totals.get(1):
-        return Classifier(dict.fromkeys(LEXICON, 6.0), -4.0)
+        voters = [x for word in LEXICON for x in (word, word + "!")]
+        rows = feature_rows(unlabelled_words(docs, sample_docs), voters)
+        return train(rows, len(voters), voters, {}) if rows else Classifier({}, -4.0)
     least = max(LEAST_SUPPORT, LEAST_SHARE * totals[1])
     toxic = {r.term: r.n for r in term_counts(sample, 1).where(F.col("n") >= least).toLocalIterator()}
     known = {*toxic, *LEXICON, *(x + "!" for x in LEXICON)}
@@ -327,8 +347,7 @@ def toxicity_scores(docs: DataFrame, model: Classifier, carry: str | None = None
             scores = [score_text(t.as_py(), model, evidence) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in out_names), pa.array(scores, pa.float64())], names=[*out_names, score])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in out_names)
-    found = source.mapInArrow(run, f"{fields}, {score} double")
+    found = source.mapInArrow(run, StructType([f for f in source.schema.fields if f.name in out_names]).add(score, DoubleType()))
     return found if carry else found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
