@@ -3,8 +3,9 @@
 The automaton enumerates the vocabulary pieces that end at each character; the dynamic programme carries, per position,
 the best score and the number of pieces on the way there, and no back pointers. Ties follow the Unigram model of the
 `tokenizers` library: of two ways with the same score the one whose last piece is longer stays, as it was found
-from the earlier position; a character that is no piece by itself costs the worst score less 10 and counts as one
-unknown token, or as its UTF-8 bytes where the model falls back to bytes. Scores add up in double precision.
+from the earlier position; a character that is no piece by itself costs the worst score less 10. Such characters count
+as their UTF-8 bytes where the model falls back to bytes; else a run of them counts as one unknown token, as in that
+library. Scores add up in double precision.
 
 The text is prepared as the model has it: spaces become the mark U+2581, and a mark is put in front. No piece has a
 mark after another character (checked when the model is loaded), so every way passes each such boundary, the text falls
@@ -14,7 +15,7 @@ None of the public vocabularies at hand is a unigram model; `op2` uses the 32k-p
 under unigram rules; the tests compare with the `tokenizers` library's Unigram model over the same pieces.
 
 Defined cases: null and empty texts have 0 tokens; very long texts without spaces are one segment, counted in linear
-time; repeated rows give repeated results; an empty table gives an empty result.
+time; repeated rows give repeated results; an empty table gives an empty result; the input's other columns are left aside.
 """
 
 from __future__ import annotations
@@ -59,6 +60,7 @@ class Unigram:
         n = len(segment)
         best: list[float | None] = [None] * (n + 1)
         pieces = [0] * (n + 1)
+        unknown = [False] * (n + 1)  # the best way to a position ends in an unknown character
         best[0] = 0.0
         reached = 0
 
@@ -68,8 +70,8 @@ class Unigram:
             if char not in self.single and best[end - 1] is not None:
                 score = best[end - 1] + self.unknown
                 if best[end] is None or score > best[end]:
-                    best[end] = score
-                    pieces[end] = pieces[end - 1] + (len(char.encode()) if self.fallback else 1)
+                    best[end], unknown[end] = score, True
+                    pieces[end] = pieces[end - 1] + (len(char.encode()) if self.fallback else 0 if unknown[end - 1] else 1)
 
         for last, (length, score) in self.automaton.iter(segment):
             end = last + 1
@@ -81,7 +83,7 @@ class Unigram:
                 score += before
                 # Pieces that end here come from the longest to the shortest: the earlier start stays on a tie.
                 if best[end] is None or score > best[end]:
-                    best[end], pieces[end] = score, pieces[end - length] + 1
+                    best[end], pieces[end], unknown[end] = score, pieces[end - length] + 1, False
         while reached < n:
             reached += 1
             step(reached)
