@@ -1,21 +1,24 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The training texts are indexed in shards: each shard is one chunk of documents whose words are term numbers in one long
-position space, with a posting list of positions per term of the test vocabulary (`build_index`). A shard is a row, so
-the index is an ordinary table: it can be written, reread and searched again. `search` intersects, shard by shard, the
-offset-adjusted posting lists of every test window, from the window's rarest term in that shard to its most common one,
-and so finds every exact occurrence; a window whose (up to) three rarest
-terms, by their counts in the whole test set, are in a document, the second and third within `slop` words of the
+The training texts are indexed in shards: each shard is one chunk of documents whose words are laid out in one long
+position space, with its vocabulary and, per word of it, the posting list of all its positions (`build_index`). A shard
+is a row, so the index is an ordinary table of about 0.7 times the texts' size; it is stored once, in the session's
+shared folder, and searched as often as there are blocks of test items, without another look at the texts. `search`
+intersects, shard by shard, the offset-adjusted posting lists of every test window by binary search, from the window's
+rarest term in that shard to its most common one, and so finds every exact occurrence; a window whose (up to) three
+rarest terms, by their counts in the whole test set, are in a document, the second and third within `slop` words of the
 rarest, is a proximity match there, whatever its other words and the other documents of the shard are.
 
-The test set is handled in blocks of at most `BLOCK_BYTES`, each broadcast with that proven bound; every block goes over
-all shards. No text, posting or document is shuffled; what the blocks find is merged per document.
+The test set is handled in blocks of at most `BLOCK_BYTES`, one at a time: the driver holds and broadcasts one block,
+with that proven bound, and writes its hits before the next one. No text, posting or document is shuffled; what several
+blocks find is merged per document.
 
 Windows: `window` consecutive words of an item; an item with fewer words, but not none, is one window.
 
 Defined cases: null and empty texts have no words and no hits; null item texts give no windows; null item ids are left
 out; repeated items count once; repeated documents are rows of their own; an empty benchmark leaves every document
-clean; very long texts form a shard of their own. Other columns of the input may be carried along.
+clean; very long texts form a shard of their own; an empty table gives an empty result. Other columns of the input are
+left aside by `contamination` and kept, whatever their names, by `decontaminated`.
 """
 
 from __future__ import annotations
@@ -32,12 +35,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, words_of, written
+from .common import chunks, free_name, words_of, written
 
 #: Text of the test items that one pass carries.
 BLOCK_BYTES = 2 << 20
 
-INDEX_SCHEMA = "rows array<long>, ids array<long>, bounds binary, terms binary, starts binary, positions binary"
+INDEX_SCHEMA = "rows array<long>, ids array<long>, bounds binary, words binary, starts binary, positions binary"
 HIT_SCHEMA = "row long, doc_id long, n_words long, spans array<long>, items array<string>, near_items array<string>"
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -87,17 +90,19 @@ def word_counts(items: list[tuple[str, bytes]]) -> Counter:
 
 
 class Numbers(dict):
-    """Term number of a word; other words are -1."""
+    """Number of each word of a shard, in the order of their first sight."""
 
-    def __missing__(self, word):
-        return -1
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
 
-def shard(texts: list[bytes | None], numbers: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """bounds (first position of each document, then the end), terms with postings, their starts, and the positions.
+def shard(texts: list[bytes | None]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """bounds (first position of each document, then the end), the vocabulary, starts of its posting lists, and the positions.
 
     One position is left free between documents, so no window reaches over.
     """
+    numbers = Numbers()
     parts, bounds, at = [], [0], 0
     for text in texts:
         words = words_of(text)
@@ -106,11 +111,18 @@ def shard(texts: list[bytes | None], numbers: Numbers) -> tuple[np.ndarray, np.n
         at += len(words) + 1
         bounds.append(at)
     flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    places = np.flatnonzero(flat >= 0)
-    order = np.argsort(flat[places], kind="stable")
-    positions = places[order].astype(np.int32)
-    terms, starts = np.unique(flat[positions], return_index=True)
-    return np.array(bounds, np.int64), terms.astype(np.int32), np.append(starts, len(positions)).astype(np.int64), positions
+    positions = np.argsort(flat, kind="stable")[np.count_nonzero(flat < 0) :].astype(np.int32)
+    starts = np.append(0, np.cumsum(np.bincount(flat[positions], minlength=len(numbers)))).astype(np.int64)
+    return np.array(bounds, np.int64), list(numbers), starts, positions
+
+
+def postings(test: TestSet, words: list[bytes], starts: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a shard's posting lists those of test terms, in the order of the terms: terms, starts and positions."""
+    own = np.fromiter((test.vocabulary.get(w, -1) for w in words), np.int64, len(words))
+    met = np.flatnonzero(own >= 0)
+    met = met[np.argsort(own[met], kind="stable")]
+    n = starts[met + 1] - starts[met]
+    return own[met].astype(np.int32), np.append(0, np.cumsum(n)).astype(np.int64), positions[expand(starts[met], n)]
 
 
 def expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -152,18 +164,15 @@ def intersect(test: TestSet, n_positions: int, terms: np.ndarray, starts: np.nda
     first, count = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
     first[terms], count[terms] = starts[:-1], np.diff(starts)
     near_i = near_d = none
+    # Lists are sorted, so term and position make one sorted key.
+    key = np.repeat(terms.astype(np.int64), np.diff(starts)) * (n_positions + 1) + positions
     if slop:
-        # Lists are sorted, so term and position make one sorted key.
-        key = np.repeat(terms.astype(np.int64), np.diff(starts)) * (n_positions + 1) + positions
         near_i, near_d = proximity(test, first, count, key, n_positions, positions, slop, bounds, candidates)
     at = np.where(test.windows >= 0, test.windows, size)
     lists = np.where(test.windows >= 0, count[at], np.iinfo(np.int64).max)
     order = np.argsort(lists, axis=1, kind="stable")  # rarest first; padding last
     live = np.flatnonzero(lists.min(axis=1) > 0)
     live = live[(lists[live] > 0).all(axis=1)]  # a term without postings here: no match here
-    # The lists by position: which term stands at a position. Membership in an offset-adjusted list is one look-up.
-    held = np.full(n_positions + 1, -1, np.int32)
-    held[positions] = np.repeat(terms, np.diff(starts))
     found_w, found_s = [none], [none]
     rare = lists[live, order[live, 0]]
     for a, b in chunks(rare.tolist(), candidates):
@@ -177,26 +186,28 @@ def intersect(test: TestSet, n_positions: int, terms: np.ndarray, starts: np.nda
         begin, window = begin[ok], window[ok]
         for k in range(1, test.windows.shape[1]):
             place = order[window, k]
-            ok = held[np.minimum(begin + place, n_positions)] == test.windows[window, place]
-            ok |= test.windows[window, place] < 0
+            term = test.windows[window, place]
+            # In the term's list, adjusted by its offset in the window?
+            wanted = np.maximum(term, 0) * np.int64(n_positions + 1) + begin + place
+            ok = (term < 0) | (key[np.minimum(np.searchsorted(key, wanted), len(key) - 1)] == wanted)
             begin, window = begin[ok], window[ok]
         found_w.append(window)
         found_s.append(begin)
     return np.concatenate(found_w), np.concatenate(found_s), near_i, near_d
 
 
-def build_index(docs: DataFrame, test) -> DataFrame:
-    """Shards with the postings of the vocabulary of test (a broadcast TestSet). docs: row, doc_id, text."""
+def build_index(docs: DataFrame) -> DataFrame:
+    """Shards with the postings of all words. docs: row, doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(test.value.vocabulary)
         for batch in batches:
             texts = batch.column(2).cast(pa.binary())
             sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
             for a, b in chunks(sizes):
                 columns = [pa.array([batch.column(c).slice(a, b - a).to_pylist()], pa.list_(pa.int64())) for c in (0, 1)]
-                columns += [pa.array([x.tobytes()], pa.binary()) for x in shard(texts.slice(a, b - a).to_pylist(), numbers)]
-                yield pa.RecordBatch.from_arrays(columns, ["rows", "ids", "bounds", "terms", "starts", "positions"])
+                bounds, words, starts, positions = shard(texts.slice(a, b - a).to_pylist())
+                columns += [pa.array([x], pa.binary()) for x in (bounds.tobytes(), b" ".join(words), starts.tobytes(), positions.tobytes())]
+                yield pa.RecordBatch.from_arrays(columns, ["rows", "ids", "bounds", "words", "starts", "positions"])
 
     return docs.select("row", "doc_id", "text").mapInArrow(run, INDEX_SCHEMA)
 
@@ -207,8 +218,10 @@ def search(index: DataFrame, test, slop: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t: TestSet = test.value
         for batch in batches:
-            for row in batch.to_pylist():
-                bounds, terms, starts, positions = (np.frombuffer(row[c], k) for c, k in (("bounds", np.int64), ("terms", np.int32), ("starts", np.int64), ("positions", np.int32)))
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                bounds, starts, positions = (np.frombuffer(row[c], k) for c, k in (("bounds", np.int64), ("starts", np.int64), ("positions", np.int32)))
+                terms, starts, positions = postings(t, row["words"].split(), starts, positions)
                 n, n_docs = int(bounds[-1]), len(row["ids"])
                 window, begin, near_i, near_d = intersect(t, n, terms, starts, positions, slop, bounds)
                 edge = np.bincount(begin, minlength=n + 1) - np.bincount(begin + t.lengths[window], minlength=n + 1)
@@ -257,15 +270,13 @@ def merge(found: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, row (a number per input row), n_words, n_hit, spans, items, near_items: one row per document."""
-    spark = docs.sparkSession
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = list(blocks_of(benchmark, block_bytes))
-    rarity = sum((word_counts(b) for b in blocks), Counter())
-    tests = [spark.sparkContext.broadcast(make_windows(b, window, rarity)) for b in blocks]
-    if len(tests) > 1:
-        keyed = written(keyed, "decontaminate")  # so that every block sees the same row numbers
-    found = [search(build_index(keyed, t), t, slop) for t in tests]
-    hits = found[0] if len(found) == 1 else merge(reduce(DataFrame.unionByName, found))
+    index = written(build_index(keyed), "positional-index")
+    found = [search(index, test, slop) if last and not k else written(search(index, test, slop), "hits") for k, last, test in tests_of(benchmark, window, block_bytes)]
+    hits = found[0]
+    if len(found) > 1:
+        # A document is a row of the first block's hits; of the others only matches count.
+        hits = merge(reduce(DataFrame.unionByName, [hits, *(f.where("size(items) > 0 or size(near_items) > 0") for f in found[1:])]))
     n_hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
     return hits.withColumn("n_hit", n_hit)
 
@@ -275,54 +286,92 @@ def digest(hits: DataFrame) -> DataFrame:
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.sort_array("items"), ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items"))
 
 
+def tests_of(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[tuple[int, bool, object]]:
+    """Number, whether it is the last one, and the broadcast test set of each block; a block is let go when the next is asked for.
+
+    How rare a word is counts the whole test set; with several blocks Spark counts, and each block gets its own words' counts.
+    """
+    spark = benchmark.sparkSession
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.explode(F.regexp_extract_all(lowered, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)))
+    all_counts = benchmark.where("item_id is not null and text is not null").select(words.alias("word")).groupBy("word").count()
+    blocks = blocks_of(benchmark, block_bytes)
+    block, k = next(blocks), 0
+    while block is not None:
+        following = next(blocks, None)
+        rarity = word_counts(block)
+        if k or following is not None:
+            own = spark.createDataFrame([(w.decode(),) for w in rarity], "its_word string")
+            rarity = Counter({r.word.encode(): r["count"] for r in all_counts.join(F.broadcast(own), F.col("word") == F.col("its_word")).select("word", "count").toLocalIterator()})
+        test = spark.sparkContext.broadcast(make_windows(block, window, rarity))
+        yield k, following is None, test
+        if following is not None:
+            test.unpersist()
+        block, k = following, k + 1
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents with every hit word cut out of the text, columns as before; text between cuts stays as it is.
 
-    Cutting keeps what a document has besides the test passage, and goes on where what is left forms a window again. A
-    document of which nothing but separators would be left goes. A column n_chars is the new text's length where it changed.
+    Cutting keeps what a document has besides the test passage, and goes on where what is left forms a window again, of
+    the same block or of another one. A document of which nothing but separators would be left goes. A column n_chars is
+    the new text's length where it changed. As what an index finds takes effect in the text it was made from, each task
+    indexes and searches its own shards and cuts in the same pass, so that no text is shuffled; the index isn't stored.
     """
-    spark = docs.sparkSession
-    tests = [spark.sparkContext.broadcast(make_windows(b, window)) for b in blocks_of(benchmark, block_bytes)]
+    flag = free_name(docs, "changed")
+    columns = docs.columns
+    current, settled = docs.withColumn(flag, F.lit(False)), []
+    while True:
+        for k, last, test in tests_of(benchmark, window, block_bytes):
+            cutting = cut_hits(current, test, flag)
+            if last and not k:
+                return cutting.select(*[F.col(f"`{c}`") for c in columns])  # one block looks again by itself
+            current = written(cutting, "decontaminated")
+        # What a block changed may hold another block's window now.
+        settled.append(current.where(~F.col(flag)))
+        again = current.where(flag)
+        if again.isEmpty():
+            return reduce(DataFrame.unionByName, settled).select(*[F.col(f"`{c}`") for c in columns])
+        current = again.withColumn(flag, F.lit(False))
+
+
+def cut_hits(docs: DataFrame, test, flag: str) -> DataFrame:
+    """docs without the hit words of one block, flag set where a text changed."""
     names = docs.columns
     at = names.index("text")
 
-    def run_for(test):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t: TestSet = test.value
-            numbers = Numbers(t.vocabulary)
-            for batch in batches:
-                texts = batch.column(at).cast(pa.binary())
-                sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
-                for a, b in chunks(sizes):
-                    part, own = batch.slice(a, b - a), texts.slice(a, b - a).to_pylist()
-                    look, changed = list(range(b - a)), set()
-                    while look:
-                        bounds, terms, starts, positions = shard([own[i] for i in look], numbers)
-                        n = int(bounds[-1])
-                        found, begin, _, _ = intersect(t, n, terms, starts, positions, 0, bounds)
-                        edge = np.bincount(begin, minlength=n + 1) - np.bincount(begin + t.lengths[found], minlength=n + 1)
-                        hit = np.cumsum(edge) > 0
-                        again = np.unique(np.searchsorted(bounds, begin, side="right") - 1).tolist()
-                        for d in again:
-                            own[look[d]] = without(own[look[d]], hit[bounds[d] : bounds[d + 1] - 1])
-                        look = [look[d] for d in again]
-                        changed.update(look)
-                    if changed:
-                        columns = list(part.columns)
-                        columns[at] = pa.array(own, pa.binary()).cast(columns[at].type)
-                        if "n_chars" in names:
-                            k = names.index("n_chars")
-                            n_chars = pc.if_else(pa.array([i in changed for i in range(b - a)]), pc.utf8_length(columns[at].cast(pa.string())).cast(columns[k].type), columns[k])
-                            columns[k] = n_chars
-                        keep = pa.array([i not in changed or bool(words_of(own[i])) for i in range(b - a)])
-                        part = pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(keep)
-                    yield part
-
-        return run
-
-    for t in tests:
-        docs = docs.mapInArrow(run_for(t), docs.schema)
-    return docs
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t: TestSet = test.value
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary())
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+            for a, b in chunks(sizes):
+                part, own = batch.slice(a, b - a), texts.slice(a, b - a).to_pylist()
+                look, changed = list(range(b - a)), set()
+                while look:
+                    bounds, *lists = shard([own[i] for i in look])
+                    n = int(bounds[-1])
+                    found, begin, _, _ = intersect(t, n, *postings(t, *lists), 0, bounds)
+                    edge = np.bincount(begin, minlength=n + 1) - np.bincount(begin + t.lengths[found], minlength=n + 1)
+                    hit = np.cumsum(edge) > 0
+                    again = np.unique(np.searchsorted(bounds, begin, side="right") - 1).tolist()
+                    for d in again:
+                        own[look[d]] = without(own[look[d]], hit[bounds[d] : bounds[d + 1] - 1])
+                    look = [look[d] for d in again]
+                    changed.update(look)
+                if changed:
+                    columns = list(part.columns)
+                    columns[at] = pa.array(own, pa.binary()).cast(columns[at].type)
+                    is_changed = pa.array([i in changed for i in range(b - a)])
+                    columns[names.index(flag)] = pc.or_(columns[names.index(flag)], is_changed)
+                    if "n_chars" in names:
+                        k = names.index("n_chars")
+                        columns[k] = pc.if_else(is_changed, pc.utf8_length(columns[at].cast(pa.string())).cast(columns[k].type), columns[k])
+                    keep = pa.array([i not in changed or bool(words_of(own[i])) for i in range(b - a)])
+                    part = pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(keep)
+                yield part
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def without(text: bytes, hit: np.ndarray) -> bytes:
