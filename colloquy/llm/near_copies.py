@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from .common import cut, free_name, written
 from .simhash import SEED, components
@@ -111,8 +112,8 @@ def signatures(docs: DataFrame, shingle: int, names: tuple[str, str, str]) -> Da
                 sketches.append(sketch)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], [*in_names, *names])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, `{names[0]}` long, `{names[1]}` array<long>, `{names[2]}` array<long>")
+    schema = StructType(list(docs.schema.fields)).add(names[0], LongType()).add(names[1], ArrayType(LongType())).add(names[2], ArrayType(LongType()))
+    return docs.mapInArrow(run, schema)
 
 
 def candidates(nodes: DataFrame) -> DataFrame:

@@ -15,7 +15,8 @@ with hooking over joins that adaptive execution may split.
 
 Defined cases: null and empty texts (no words) have fingerprint zero and link as any other; texts of one or two words
 are one shingle; repeated rows and null ids are kept, and ids in a component count as its name if not null; very long
-texts are hashed in pieces; an empty table gives an empty result.
+texts are hashed in pieces; an empty table gives an empty result; other columns are left aside, or carried along
+whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from .common import cut, free_name, written
 
@@ -71,8 +73,7 @@ def fingerprints(docs: DataFrame, carry: str | None = None) -> DataFrame:
             found = pa.array([fingerprint(t.as_py()) for t in batch.column(at).cast(pa.binary())], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in out_names), found], [*out_names, fp])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in out_names)
-    return source.mapInArrow(run, f"{fields}, `{fp}` long")
+    return source.mapInArrow(run, StructType([f for f in source.schema.fields if f.name in out_names]).add(fp, LongType()))
 
 
 def syndrome(half: np.ndarray) -> np.ndarray:
