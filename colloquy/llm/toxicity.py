@@ -187,7 +187,7 @@ def class_counts(docs: DataFrame, labels: DataFrame) -> dict[int, int]:
 
 def sample_words(docs: DataFrame, labels: DataFrame, sample_docs: int) -> DataFrame:
     """doc_id, toxic, words (space-joined, distinct) and times of the bounded sample, written once; its size does not grow with docs."""
-    known = known_labels(labels)
+    docs, known = docs.select("doc_id", "text"), known_labels(labels)
     order = [F.xxhash64("its_id"), F.col("its_id")]
     toxic = known.where("toxic = 1").orderBy(*order).limit(sample_docs // 2)
     clean = known.where("toxic <> 1").orderBy(*order).limit(sample_docs // 2)
@@ -196,6 +196,7 @@ def sample_words(docs: DataFrame, labels: DataFrame, sample_docs: int) -> DataFr
 
 def unlabelled_words(docs: DataFrame, sample_docs: int) -> DataFrame:
     """The same of the first documents by hash, with null for toxic."""
+    docs = docs.select("doc_id", "text")
     chosen = docs.select(F.xxhash64("doc_id", "text").alias("its_key")).distinct().orderBy("its_key").limit(sample_docs)
     met = docs.join(F.broadcast(chosen), F.xxhash64("doc_id", "text") == F.col("its_key"))
     return words_of_sample(met.select("doc_id", F.lit(None).cast("int").alias("toxic"), "text"))
