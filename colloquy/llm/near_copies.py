@@ -1,13 +1,16 @@
-"""Near copies by the Jaccard similarity of word shingles, for the pipeline: one document of each group stays.
+"""The near-duplicate stage of the pipeline: SimHash anchors and what they can't reach; one document of each group stays.
 
 Two texts link if their sets of `shingle`-word shingles have a Jaccard similarity of at least `least`. Texts of equal
-sets are one node. Candidates share one of BANDS bands of ROWS minimum hashes; at a similarity of 0.8 a pair shares none
-with a chance of 7 in 100,000. (A 64-bit SimHash differs in about 10 bits there, 15 or more for one pair in twenty,
-which no covering by anchors reaches.) Candidates whose one-bit sketches already differ too much go, and the similarity
-of the others is computed exactly from their texts, until all are linked, told apart or in one group anyway.
+sets are one node. Candidates come from three places, and each is checked exactly, by the similarity of the texts:
 
-In a band's group of more than WINDOW nodes, each is compared with the WINDOW before it in the order of the sketches,
-which is turned from band to band.
+* the operator's own anchors (`simhash.linked`) over 64-bit fingerprints of the shingle sets: all within two bits;
+* at a similarity of 0.8 fingerprints differ in about 10 bits, in 15 or more for one pair in twenty, which no covering
+  by anchors reaches. So candidates also share one of BANDS bands of ROWS minimum hashes; at 0.8 a pair shares none with
+  a chance of 7 in 100,000. Those whose one-bit sketches differ too much already go. In a band's group of more than
+  WINDOW nodes, each is compared with the WINDOW before it in the order of the sketches, turned from band to band;
+* nodes of such a large group that are still apart after that are joined exactly, by the rarest of their shingles
+  (`rare_pairs`): sets of that similarity share one of the rarest fifth of either's shingles. Groups of one rare shingle
+  are compared across components in blocks of BLOCK nodes, so that no task holds a whole group and no pair is left out.
 
 Defined cases: null and empty texts (no words) are one group; texts of fewer words are one shingle; ties, repeated rows and null ids
 as in `simhash.deduplicated`; an empty table gives an empty result.
@@ -19,17 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from .common import cut, free_name, written
-from .simhash import SEED, components
+from .simhash import SEED, components, linked
 
 SHINGLE = 5
 LEAST = 0.8
 BANDS, ROWS = 24, 5
 WINDOW = 32
+BLOCK = 512
 #: Bits of BANDS * ROWS in which the sketches of a candidate pair may differ: 12 are expected at 0.8, with a deviation of 3.3.
 SKETCH_BITS = 27
 #: Shingles that are hashed at once.
@@ -93,8 +97,16 @@ def signature(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), np.frombuffer(bits.tobytes().ljust(16, b"\0"), np.int64)
 
 
+def fingerprint_of(found: np.ndarray) -> int:
+    """Bits set in more than half of a set's hashes."""
+    counts = np.zeros(64, np.int64)
+    for a in range(0, len(found), PIECE):
+        counts += np.unpackbits(found[a : a + PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((counts * 2 > len(found)).astype(np.uint8), bitorder="little").view(np.int64)[0])
+
+
 def signatures(docs: DataFrame, shingle: int, names: tuple[str, str, str]) -> DataFrame:
-    """docs with node (hash of the shingle set, 0 without words), keys and sketch under these names."""
+    """docs with node (hash of the shingle set, 0 without words), keys and sketch (two numbers, then the fingerprint) under these names."""
     in_names = docs.columns
     at = in_names.index("text")
 
@@ -109,39 +121,111 @@ def signatures(docs: DataFrame, shingle: int, names: tuple[str, str, str]) -> Da
                 nodes.append(np.array([xxhash.xxh64_intdigest(found.tobytes(), SEED)], np.uint64).view(np.int64)[0] if len(found) else 0)
                 key, sketch = signature(found) if len(found) else ((), ())
                 keys.append(key)
-                sketches.append(sketch)
+                sketches.append([*sketch, fingerprint_of(found)] if len(found) else [])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], [*in_names, *names])
 
     schema = StructType(list(docs.schema.fields)).add(names[0], LongType()).add(names[1], ArrayType(LongType())).add(names[2], ArrayType(LongType()))
     return docs.mapInArrow(run, schema)
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """a, b, bits (that their sketches differ in) of pairs that share a band. nodes: node, keys, sketch."""
+def banded(nodes: DataFrame) -> DataFrame:
+    """a, b, bits (that their sketches differ in) of pairs that share a band; a node, the band's key and -1 in large groups. nodes: node, keys, sketch."""
     each = nodes.select("node", F.posexplode("keys").alias("band", "key"), F.col("sketch")[0].alias("s0"), F.col("sketch")[1].alias("s1"))
     # Each band sorts by another part of the sketch first.
     turned = F.expr("shiftleft(s0, (band * 5) % 64) ^ shiftrightunsigned(s1, (band * 3) % 64)")
     rows = each.select("key", turned.alias("turned"), "node", "s0", "s1").repartition("key").sortWithinPartitions("key", "turned", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(a, b, bits):
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(bits, pa.int32())], ["a", "b", "bits"])
+
         rest = [np.zeros(0, np.int64)] * 4
         for batch in batches:
             held = len(rest[0])
             key, node, s0, s1 = (np.concatenate([r, batch.column(c).to_numpy(zero_copy_only=False)]) for r, c in zip(rest, (0, 2, 3, 4)))
-            for k in range(1, WINDOW + 1):
+            for k in range(1, WINDOW + 2):
                 i = np.arange(max(held, k), len(key))
                 i = i[key[i] == key[i - k]]
                 if not len(i):
                     break
+                if k > WINDOW:
+                    large = np.unique(np.concatenate([i, i - k]))
+                    yield out(node[large], key[large], np.full(len(large), -1))
+                    break
                 bits = np.bitwise_count((s0[i] ^ s0[i - k]).view(np.uint64)).astype(np.int32) + np.bitwise_count((s1[i] ^ s1[i - k]).view(np.uint64))
                 ok = (bits <= SKETCH_BITS) & (node[i] != node[i - k])
                 i, bits = i[ok], bits[ok]
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[i - k]), pa.array(bits, pa.int32())], ["a", "b", "bits"])
-            rest = [x[-WINDOW:] for x in (key, node, s0, s1)]
+                    yield out(np.minimum(node[i], node[i - k]), np.maximum(node[i], node[i - k]), bits)
+            rest = [x[-WINDOW - 1 :] for x in (key, node, s0, s1)]
 
-    found = rows.mapInArrow(run, "a long, b long, bits int")
-    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("bits").alias("bits"))
+    return rows.mapInArrow(run, "a long, b long, bits int")
+
+
+def anchored(nodes: DataFrame) -> DataFrame:
+    """a, b, bits of pairs whose fingerprints the anchors link, through one node of each fingerprint."""
+    own = cut(nodes.where("size(sketch) > 0").select("node", F.col("sketch")[2].alias("fp")))
+    first = cut(own.groupBy("fp").agg(F.min("node").alias("first")))
+    equal = own.join(first, "fp").select(F.col("first").alias("a"), F.col("node").alias("b")).where("a <> b")
+    near = linked(first.select("fp"))
+    for x in "ab":
+        near = near.join(first.select(F.col("fp").alias(x), F.col("first").alias(f"node_{x}")), x)
+    between = near.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    return equal.unionByName(between).select("a", "b", F.lit(0).alias("bits"))
+
+
+def rare_pairs(open_nodes: DataFrame, shingle: int, least: float) -> DataFrame:
+    """a, b of all pairs of different labels that share one of either's rarest shingles. open_nodes: node, label, text.
+
+    Sets of a similarity of least or more share at least ceil(least * n) of the n shingles of either, so one of the
+    n - ceil(least * n) + 1 that come first in an order that both follow: here the rarest first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = shingle_set(batch.column(2)[i].cast(pa.binary()).as_py(), hashes, shingle).view(np.int64)
+                for at in range(0, len(found), PIECE):
+                    some = found[at : at + PIECE]
+                    columns = [pa.array(np.full(len(some), batch.column(c)[i].as_py(), np.int64)) for c in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(some), len(found), np.int64)), pa.array(some)], ["node", "label", "n", "shingle"])
+
+    each = written(open_nodes.select("node", "label", "text").mapInArrow(run, "node long, label long, n long, shingle long"), "open-shingles")
+    often = each.groupBy("shingle").agg(F.count("*").alias("often"), F.min("label").alias("low"), F.max("label").alias("high"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
+    prefix = each.join(often, "shingle").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(least - 1e-9)) + 1)
+    rare = cut(prefix.where("low < high").select("shingle", "node", "label", "n"))
+    # Blocks of a shingle's nodes; each pair of blocks meets once.
+    sizes = rare.groupBy("shingle").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    salted = rare.join(sizes, "shingle").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    meeting = salted.select("shingle", "node", "label", "n", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pairs_of = meeting.select("shingle", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "label", "n")
+    rows = pairs_of.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high", "node")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def pairs(group: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            node, label, n = group
+            for i in range(len(node) - 1):
+                j = np.flatnonzero((label[i + 1 :] != label[i]) & (np.minimum(n[i + 1 :], n[i]) >= least * np.maximum(n[i + 1 :], n[i]) - 1e-9)) + i + 1
+                if len(j):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
+
+        for batch in batches:
+            part = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(6)]
+            held = [np.concatenate(x) for x in zip(held, part)] if held else part
+            edges = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]) | (held[2][1:] != held[2][:-1])) + 1
+            start = 0
+            for end in edges.tolist():
+                yield from pairs([x[start:end] for x in held[3:]])
+                start = end
+            held = [x[start:] for x in held]
+        if held:
+            yield from pairs(held[3:])
+
+    return rows.select("shingle", "low", "high", "node", "label", "n").mapInArrow(compare, "a long, b long").distinct()
 
 
 def judged(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -163,23 +247,35 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST)
     kept = written(signatures(docs, shingle, (node, keys, sketch)).withColumn(row, F.monotonically_increasing_id()), "near-copies")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(row).alias("row"))).alias("first")
     nodes = cut(kept.groupBy(F.col(node).alias("node")).agg(first, F.min(F.struct(F.col(keys).alias("keys"), F.col(sketch).alias("sketch"))).alias("s")).select("node", "first", "s.keys", "s.sketch"))
-    left = cut(candidates(nodes))
-    paired = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
+    found = written(banded(nodes).unionByName(anchored(nodes)), "near-copy-pairs")
+    left = cut(found.where("bits >= 0").groupBy("a", "b").agg(F.min("bits").alias("bits")))
+    large = cut(found.where("bits < 0").select(F.col("a").alias("node"), F.col("b").alias("key")).distinct())
+    paired = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
     rows = nodes.join(paired, "node", "left_semi").select("node", F.col("first.row").alias("at"))
     texts = written(kept.select(F.col(row).alias("at"), "text").join(rows, "at").select("node", "text"), "near-copy-texts")
     grouped = nodes
-    if not left.isEmpty():
+    if not left.isEmpty() or not large.isEmpty():
         # The likeliest pair of each node first; most others then are inside one group and need no texts.
         first_of = cut(left.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("best")).select("a", "best.b"))
         links = cut(judged(first_of, texts, shingle, least).where("near").select("a", "b"))
+        rest = apart(left.join(first_of.hint("merge"), ["a", "b"], "left_anti"), components(links))
+        links = cut(links.unionByName(judged(rest, texts, shingle, least).where("near").select("a", "b")))
         labels = components(links)
-        open_pairs = left.join(first_of.hint("merge"), ["a", "b"], "left_anti")
-        for x in "ab":
-            open_pairs = open_pairs.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")).hint("merge"), x, "left")
-        rest = cut(open_pairs.where("coalesce(label_a, a) <> coalesce(label_b, b)").select("a", "b"))
-        more = cut(judged(rest, texts, shingle, least).where("near").select("a", "b"))
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
+        named = large.join(labels.hint("merge"), "node", "left").select("node", "key", F.coalesce("label", "node").alias("label"))
+        # Large groups of a band in which not all came together.
+        torn = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+        still_open = cut(named.join(torn, "key", "left_semi").select("node", "label").distinct())
+        if not still_open.isEmpty():
+            pairs = cut(rare_pairs(still_open.join(texts, "node"), shingle, least))
+            links = cut(links.unionByName(judged(pairs, texts, shingle, least).where("near").select("a", "b")))
+            labels = components(links)
         grouped = nodes.join(labels.hint("merge"), "node", "left").withColumn("node", F.coalesce("label", "node"))
     best = grouped.groupBy("node").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
     return kept.join(best, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b of pairs whose nodes have different labels (their own, where they have none)."""
+    for x in "ab":
+        pairs = pairs.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")).hint("merge"), x, "left")
+    return cut(pairs.where("coalesce(label_a, a) <> coalesce(label_b, b)").select("a", "b"))

@@ -64,3 +64,33 @@ def test_smallest_table(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").where("text is not null and text <> ''")
     want, _ = brute_kept([(r.doc_id, r.text) for r in docs.collect()])
     assert {r.doc_id for r in near_copies.deduplicated(docs).collect()} == want
+
+
+def template_rows(n=70):
+    """Texts that share five sixths of a template (a similarity of about 0.7), each with one copy at about 0.93."""
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(n):
+        at = (i * 5) % 340
+        own = [*base[:at], *(f"o{i}x{k}" for k in range(60)), *base[at + 60 :]]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join([*own[:-12], *(f"c{i}x{k}" for k in range(9)), *own[-3:]]))]
+    return rows
+
+
+def test_texts_of_one_template(spark):
+    """More than a window of texts in one band's group that are not near copies of each other."""
+    rows = template_rows()
+    want, _ = brute_kept(rows)
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], DOC)
+    assert {r.doc_id for r in near_copies.deduplicated(docs).collect()} == want
+
+
+def test_rare_pairs_leave_no_pair_out(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 7)
+    rows = template_rows(20)
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(396)} for d, t in rows}
+    near = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    nodes = spark.createDataFrame([(d, d, t) for d, t in rows], "node long, label long, text string")
+    got = {(r.a, r.b) for r in near_copies.rare_pairs(nodes, 5, 0.8).collect()}
+    assert near and near <= got and len(got) < len(rows) * (len(rows) - 1) / 2
+    assert near_copies.rare_pairs(nodes.withColumn("label", nodes["label"] * 0), 5, 0.8).count() == 0
