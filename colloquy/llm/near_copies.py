@@ -6,11 +6,12 @@ sets are one node. Candidates come from three places, and each is checked exactl
 * the operator's own anchors (`simhash.linked`) over 64-bit fingerprints of the shingle sets: all within two bits;
 * at a similarity of 0.8 fingerprints differ in about 10 bits, in 15 or more for one pair in twenty, which no covering
   by anchors reaches. So candidates also share one of BANDS bands of ROWS minimum hashes; at 0.8 a pair shares none with
-  a chance of 7 in 100,000. Those whose one-bit sketches differ too much already go. In a band's group of more than
-  WINDOW nodes, each is compared with the WINDOW before it in the order of the sketches, turned from band to band;
-* nodes of such a large group that are still apart after that are joined exactly, by the rarest of their shingles
-  (`rare_pairs`): sets of that similarity share one of the rarest fifth of either's shingles. Groups of one rare shingle
-  are compared across components in blocks of BLOCK nodes, so that no task holds a whole group and no pair is left out.
+  a chance of 7 in 100,000. Those whose one-bit sketches differ too much already go. Of a band's group each node is first
+compared with the NEXT before it in the order of the sketches, turned from band to band, which brings near copies
+  together without all their pairs;
+* groups of a band of which not all came together are joined exactly, by the rarest of their shingles (`rare_pairs`):
+  sets of that similarity share one of the rarest fifth of either's shingles. Nodes that share a rare shingle are
+  compared across components in blocks of BLOCK nodes, so that no task holds a whole group and no pair is left out.
 
 Defined cases: null and empty texts (no words) are one group; texts of fewer words are one shingle; ties, repeated rows and null ids
 as in `simhash.deduplicated`; an empty table gives an empty result.
@@ -32,8 +33,10 @@ from .simhash import SEED, components, linked
 SHINGLE = 5
 LEAST = 0.8
 BANDS, ROWS = 24, 5
-WINDOW = 32
+NEXT = 3
 BLOCK = 512
+#: Sets of up to so many shingles are compared where they meet at a rare one; larger ones by their texts afterwards.
+SET_SHINGLES = 1000
 #: Bits of BANDS * ROWS in which the sketches of a candidate pair may differ: 12 are expected at 0.8, with a deviation of 3.3.
 SKETCH_BITS = 27
 #: Shingles that are hashed at once.
@@ -129,7 +132,9 @@ def signatures(docs: DataFrame, shingle: int, names: tuple[str, str, str]) -> Da
 
 
 def banded(nodes: DataFrame) -> DataFrame:
-    """a, b, bits (that their sketches differ in) of pairs that share a band; a node, the band's key and -1 in large groups. nodes: node, keys, sketch."""
+    """Of each band's groups, in the order of their sketches: a, b and bits (that their sketches differ in) of nodes at most
+    NEXT places apart; and for groups of more than NEXT + 1 nodes each node, the band's key and -1. nodes: node, keys, sketch.
+    """
     each = nodes.select("node", F.posexplode("keys").alias("band", "key"), F.col("sketch")[0].alias("s0"), F.col("sketch")[1].alias("s1"))
     # Each band sorts by another part of the sketch first.
     turned = F.expr("shiftleft(s0, (band * 5) % 64) ^ shiftrightunsigned(s1, (band * 3) % 64)")
@@ -143,12 +148,12 @@ def banded(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             held = len(rest[0])
             key, node, s0, s1 = (np.concatenate([r, batch.column(c).to_numpy(zero_copy_only=False)]) for r, c in zip(rest, (0, 2, 3, 4)))
-            for k in range(1, WINDOW + 2):
+            for k in range(1, NEXT + 2):
                 i = np.arange(max(held, k), len(key))
                 i = i[key[i] == key[i - k]]
                 if not len(i):
                     break
-                if k > WINDOW:
+                if k > NEXT:
                     large = np.unique(np.concatenate([i, i - k]))
                     yield out(node[large], key[large], np.full(len(large), -1))
                     break
@@ -157,7 +162,7 @@ def banded(nodes: DataFrame) -> DataFrame:
                 i, bits = i[ok], bits[ok]
                 if len(i):
                     yield out(np.minimum(node[i], node[i - k]), np.maximum(node[i], node[i - k]), bits)
-            rest = [x[-WINDOW - 1 :] for x in (key, node, s0, s1)]
+            rest = [x[-NEXT - 1 :] for x in (key, node, s0, s1)]
 
     return rows.mapInArrow(run, "a long, b long, bits int")
 
@@ -175,57 +180,83 @@ def anchored(nodes: DataFrame) -> DataFrame:
 
 
 def rare_pairs(open_nodes: DataFrame, shingle: int, least: float) -> DataFrame:
-    """a, b of all pairs of different labels that share one of either's rarest shingles. open_nodes: node, label, text.
+    """a, b and sure: pairs of different labels that share one of either's rarest shingles; sure ones are similar enough,
+    and enough of them come to join all that are, the others are sets too large to be told here. open_nodes: node, label, text.
 
     Sets of a similarity of least or more share at least ceil(least * n) of the n shingles of either, so one of the
-    n - ceil(least * n) + 1 that come first in an order that both follow: here the rarest first.
+    n - ceil(least * n) + 1 that come first in an order that both follow: here the rarest first. Where they share one at
+    places i and j, at most 1 + min(n - i, m - j) shingles from there on are shared; the first one they share leaves room
+    for all that the similarity needs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for i in range(batch.num_rows):
-                found = shingle_set(batch.column(2)[i].cast(pa.binary()).as_py(), hashes, shingle).view(np.int64)
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+                found = shingle_set(text.as_py(), hashes, shingle).view(np.int64)
                 for at in range(0, len(found), PIECE):
                     some = found[at : at + PIECE]
-                    columns = [pa.array(np.full(len(some), batch.column(c)[i].as_py(), np.int64)) for c in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(some), len(found), np.int64)), pa.array(some)], ["node", "label", "n", "shingle"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), node, np.int64)), pa.array(np.full(len(some), len(found), np.int32)), pa.array(some)], ["node", "n", "shingle"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            found = [shingle_set(text.as_py(), hashes, shingle).view(np.int64) for text in batch.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x if len(x) <= SET_SHINGLES else None for x in found], pa.list_(pa.int64()))], ["its_node", "label", "members"])
 
-    each = written(open_nodes.select("node", "label", "text").mapInArrow(run, "node long, label long, n long, shingle long"), "open-shingles")
-    often = each.groupBy("shingle").agg(F.count("*").alias("often"), F.min("label").alias("low"), F.max("label").alias("high"))
+    labels = written(open_nodes.select("node", "label", "text").mapInArrow(sets, "its_node long, label long, members array<long>"), "open-sets")
+    each = written(open_nodes.select("node", "text").mapInArrow(run, "node long, n int, shingle long"), "open-shingles")
+    often = each.groupBy("shingle").agg(F.count("*").cast("int").alias("often"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
     prefix = each.join(often, "shingle").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(least - 1e-9)) + 1)
-    rare = cut(prefix.where("low < high").select("shingle", "node", "label", "n"))
-    # Blocks of a shingle's nodes; each pair of blocks meets once.
+    shared = prefix.where("often > 1").join(labels.select("its_node", "label").hint("merge"), F.col("node") == F.col("its_node")).select("shingle", "node", "label", F.col("n").cast("long").alias("n"), F.col("place").cast("long").alias("place"))
+    rare = cut(shared)
+    torn = rare.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
+    rare = cut(rare.join(torn, "shingle", "left_semi"))
+    members = labels.select("its_node", "members").hint("merge")
     sizes = rare.groupBy("shingle").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     salted = rare.join(sizes, "shingle").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    meeting = salted.select("shingle", "node", "label", "n", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs_of = meeting.select("shingle", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "label", "n")
-    rows = pairs_of.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high", "node")
+    meeting = salted.select("shingle", "node", "label", "n", "place", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pairs_of = meeting.select("shingle", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "label", "n", "place")
+    rows = pairs_of.join(members, F.col("node") == F.col("its_node")).repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high", "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def pairs(group: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            node, label, n = group
+        def pairs(group: list) -> Iterator[pa.RecordBatch]:
+            node, label, n, place, own = *(np.array(x) for x in group[:4]), group[4]
             for i in range(len(node) - 1):
-                j = np.flatnonzero((label[i + 1 :] != label[i]) & (np.minimum(n[i + 1 :], n[i]) >= least * np.maximum(n[i + 1 :], n[i]) - 1e-9)) + i + 1
-                if len(j):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
-
+                room = 1 + np.minimum(n[i] - place[i], n[i + 1 :] - place[i + 1 :])
+                j = np.flatnonzero((label[i + 1 :] != label[i]) & (room >= least / (1 + least) * (n[i] + n[i + 1 :]) - 1e-9)) + i + 1
+                told = [x for x in j.tolist() if own[i] is not None and own[x] is not None]
+                near = []
+                if told:
+                    every = np.concatenate([own[x] for x in told])
+                    at = np.minimum(np.searchsorted(own[i], every), len(own[i]) - 1)
+                    common = np.add.reduceat((own[i][at] == every).astype(np.int64), np.append(0, np.cumsum(n[told])[:-1]))
+                    near = np.array(told)[common >= least * (n[i] + n[told] - common)].tolist()
+                open_ones = [x for x in j.tolist() if own[i] is None or own[x] is None]
+                sure = []
+                for x in near:
+                    if label[x] != label[i]:
+                        sure.append(x)
+                        label[label == label[x]] = label[i]  # one component from here on
+                for some, known in ((sure, True), (open_ones, False)):
+                    if some:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[some])), pa.array(np.maximum(node[i], node[some])), pa.array([known] * len(some))], ["a", "b", "sure"])
+
+        held: list[list] = [[], [], [], [], []]
+        key = None
         for batch in batches:
-            part = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(6)]
-            held = [np.concatenate(x) for x in zip(held, part)] if held else part
-            edges = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]) | (held[2][1:] != held[2][:-1])) + 1
-            start = 0
-            for end in edges.tolist():
-                yield from pairs([x[start:end] for x in held[3:]])
-                start = end
-            held = [x[start:] for x in held]
-        if held:
-            yield from pairs(held[3:])
+            columns = [batch.column(c).to_pylist() for c in range(7)]
+            own = [np.sort(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in batch.column(7)]
+            for k, row in enumerate(zip(*columns[:3])):
+                if row != key:
+                    yield from pairs(held)
+                    held, key = [[], [], [], [], []], row
+                for values, column in zip(held, (*columns[3:], own)):
+                    values.append(column[k])
+        yield from pairs(held)
 
-    return rows.select("shingle", "low", "high", "node", "label", "n").mapInArrow(compare, "a long, b long").distinct()
+    return rows.select("shingle", "low", "high", "node", "label", "n", "place", "members").mapInArrow(compare, "a long, b long, sure boolean").distinct()
 
 
 def judged(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -261,19 +292,24 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST)
         rest = apart(left.join(first_of.hint("merge"), ["a", "b"], "left_anti"), components(links))
         links = cut(links.unionByName(judged(rest, texts, shingle, least).where("near").select("a", "b")))
         labels = components(links)
-        named = large.join(labels.hint("merge"), "node", "left").select("node", "key", F.coalesce("label", "node").alias("label"))
-        # Large groups of a band in which not all came together.
-        torn = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        still_open = cut(named.join(torn, "key", "left_semi").select("node", "label").distinct())
+        still_open = torn(large, labels)
         if not still_open.isEmpty():
             pairs = cut(rare_pairs(still_open.join(texts, "node"), shingle, least))
-            links = cut(links.unionByName(judged(pairs, texts, shingle, least).where("near").select("a", "b")))
+            told = judged(pairs.where("not sure").select("a", "b"), texts, shingle, least).where("near").select("a", "b")
+            links = cut(links.unionByName(pairs.where("sure").select("a", "b")).unionByName(told))
             labels = components(links)
         grouped = nodes.join(labels.hint("merge"), "node", "left").withColumn("node", F.coalesce("label", "node"))
     best = grouped.groupBy("node").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
     return kept.join(best, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def torn(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """node and label of all nodes in groups (key) whose nodes have different labels."""
+    named = cut(large.join(labels.hint("merge"), "node", "left").select("node", "key", F.coalesce("label", "node").alias("label")))
+    keys = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    return cut(named.join(keys, "key", "left_semi").select("node", "label").distinct())
+
+
 def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """a, b of pairs whose nodes have different labels (their own, where they have none)."""
     for x in "ab":

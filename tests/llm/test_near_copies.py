@@ -85,12 +85,15 @@ def test_texts_of_one_template(spark):
     assert {r.doc_id for r in near_copies.deduplicated(docs).collect()} == want
 
 
-def test_rare_pairs_leave_no_pair_out(spark, monkeypatch):
+@pytest.mark.parametrize("most", [1000, 10])
+def test_rare_pairs_leave_no_pair_out(spark, monkeypatch, most):
+    """Small blocks; sets told where they meet, and left to their texts."""
     monkeypatch.setattr(near_copies, "BLOCK", 7)
     rows = template_rows(20)
     sets = {d: {tuple(t.split()[i : i + 5]) for i in range(396)} for d, t in rows}
     near = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    nodes = spark.createDataFrame([(d, d, t) for d, t in rows], "node long, label long, text string")
-    got = {(r.a, r.b) for r in near_copies.rare_pairs(nodes, 5, 0.8).collect()}
-    assert near and near <= got and len(got) < len(rows) * (len(rows) - 1) / 2
+    nodes = spark.createDataFrame([(d, d, t if most > 10 else f"{t} {t.replace('w', 'v')} {t.replace('w', 'u')}") for d, t in rows], "node long, label long, text string")
+    got = near_copies.rare_pairs(nodes, 5, 0.8).collect()
+    assert near and {(r.a, r.b) for r in got} >= near and len(got) < len(rows) * (len(rows) - 1) / 2
+    assert all(r.sure == (most > 10) for r in got)
     assert near_copies.rare_pairs(nodes.withColumn("label", nodes["label"] * 0), 5, 0.8).count() == 0
