@@ -97,7 +97,7 @@ count(DISTINCT path) AS n_paths, array_to_string(list_sort(list(DISTINCT path))[
 _WANT = {"openai": ["proxy-default", "sdk", "clipboard"], "anthropic": ["mcp", "local-hook"], "nobody": ["clipboard"]}
 query("agg_24_missing_sources", """with w(provider, expected) AS (VALUES ('openai', ['proxy-default', 'sdk', 'clipboard']), ('anthropic', ['mcp', 'local-hook']), ('nobody', ['clipboard'])), s AS (SELECT provider, list(DISTINCT source_id) AS seen FROM captures GROUP BY 1)
 SELECT w.provider AS provider, coalesce(array_to_string(list_sort(list_filter(expected, lambda x: list_contains(seen, x))), ','), '') AS detected, coalesce(array_to_string(list_sort(list_filter(expected, lambda x: NOT coalesce(list_contains(seen, x), false))), ','), '') AS missing FROM w LEFT JOIN s ON w.provider = s.provider""", "captures")(lambda c: A.missing_expected(c, _WANT))
-query("agg_26_singletons", "SELECT pair_id FROM captures GROUP BY 1 HAVING count(*) = 1", "captures")(lambda c: A.singletons(c, "pair_id"))
+query("agg_26_singletons", "SELECT pair_id FROM captures WHERE status_code = 200 GROUP BY 1 HAVING count(*) = 1", "captures")(lambda c: A.singletons(c.where("status_code = 200"), "pair_id"))
 query("agg_27_vector_coverage", "SELECT label, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM embeddings), 2) AS pct FROM embeddings GROUP BY 1", "embeddings")(lambda e: e.groupBy("label").agg(F.count("*").alias("n")).join(F.broadcast(e.agg(F.count("*").alias("total")))).select("label", "n", F.round(F.col("n") * 100.0 / F.col("total"), 2).alias("pct")))
 query("agg_28_categories", "SELECT source, count(*) AS n FROM documents GROUP BY 1", "documents")(lambda d: d.groupBy("source").agg(F.count("*").alias("n")))
 query("agg_29_counters", "SELECT count(*) AS n, count(DISTINCT host) AS hosts, count(DISTINCT pair_id) AS pairs FROM captures WHERE source_id = 'proxy-default'", "captures")(lambda c: c.where("source_id = 'proxy-default'").agg(F.count("*").alias("n"), F.countDistinct("host").alias("hosts"), F.countDistinct("pair_id").alias("pairs")))
@@ -256,10 +256,10 @@ query("agg_25_audit", None, "sessions", "messages")(Q.audit)
 _FOLD = "strip_accents(lower(coalesce({c}, '')))"
 query("srh_02_substring", "SELECT doc_id FROM documents WHERE position('license' IN lower(text)) > 0 ORDER BY n_chars DESC, doc_id LIMIT 20", "documents")(lambda d: R.substring(d, "doc_id", "text", "license", "n_chars").select("doc_id"))
 _BM25 = f"""with t AS (SELECT doc_id, regexp_extract_all({_FOLD.format(c='text')}, '[\\p{{L}}\\p{{N}}]+') AS t FROM documents),
-c AS (SELECT doc_id, len(t) AS n, len(list_filter(t, lambda x: x = 'software')) AS f0, len(list_filter(t, lambda x: x = 'license')) AS f1 FROM t),
+c AS (SELECT doc_id, len(t) AS n, len(list_filter(t, lambda x: x = 'apache')) AS f0, len(list_filter(t, lambda x: x = 'license')) AS f1 FROM t),
 g AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (f0 > 0) AS d0, count(*) FILTER (f1 > 0) AS d1 FROM c),
 lexical AS (SELECT doc_id, round(ln(1 + (docs - d0 + 0.5) / (d0 + 0.5)) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * n / mean)) + ln(1 + (docs - d1 + 0.5) / (d1 + 0.5)) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * n / mean)), 4) AS score FROM c, g WHERE f0 > 0 AND f1 > 0 ORDER BY score DESC, doc_id LIMIT {{k}})"""
-_TERMS = "software (license)"
+_TERMS = "apache (license)"
 ORACLE_SQL["srh_01_lexical"] = _BM25.replace("{k}", "20").replace("with ", "WITH ", 1) + " SELECT * FROM lexical"
 query("srh_01_lexical", None, "documents")(lambda d: R.lexical(d, "doc_id", "text", _TERMS, 20))
 
@@ -326,3 +326,5 @@ query("nrm_15_import", "SELECT session_id, role, substr(content_text, 1, 200) AS
 query("snk_05_upsert", "SELECT id, CASE WHEN id % 3 = 0 THEN 'new' ELSE direction END AS direction FROM captures", "captures")(lambda c: X.upserted(c.select("id", "direction"), c.where("id % 3 = 0").select("id", F.lit("new").alias("direction")), ["id"]))
 query("snk_10_envelopes", "SELECT CAST(id AS VARCHAR) AS session_id, provider, (SELECT count(*) FROM messages m WHERE m.session_id = sessions.id) AS n FROM sessions", "sessions", "messages")(lambda s, m: X.envelopes(s, m).select("session_id", "provider", F.size("messages").cast("long").alias("n")))
 query("snk_11_markdown", None, "sessions", "messages")(X.markdown)
+
+from . import catalog_more  # noqa: E402, F401
