@@ -180,8 +180,9 @@ def anchored(nodes: DataFrame) -> DataFrame:
 
 
 def rare_pairs(open_nodes: DataFrame, shingle: int, least: float) -> DataFrame:
-    """a, b and sure: pairs of different labels that share one of either's rarest shingles; sure ones are similar enough,
-    and enough of them come to join all that are, the others are sets too large to be told here. open_nodes: node, label, text.
+    """a, b: pairs of different labels that share one of either's rarest shingles and may be similar enough, by 32 bits
+    of each shingle (which can't hide a shared one) or, for sets too large for that, by their sizes and places; of
+    pairs that would join the same components enough to join them. open_nodes: node, label, text.
 
     Sets of a similarity of least or more share at least ceil(least * n) of the n shingles of either, so one of the
     n - ceil(least * n) + 1 that come first in an order that both follow: here the rarest first. Where they share one at
@@ -202,17 +203,18 @@ def rare_pairs(open_nodes: DataFrame, shingle: int, least: float) -> DataFrame:
         hashes = WordHashes()
         for batch in batches:
             found = [shingle_set(text.as_py(), hashes, shingle).view(np.int64) for text in batch.column(2).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x if len(x) <= SET_SHINGLES else None for x in found], pa.list_(pa.int64()))], ["its_node", "label", "members"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.sort((x >> 32).astype(np.int32)) if len(x) <= SET_SHINGLES else None for x in found], pa.list_(pa.int32()))], ["its_node", "label", "members"])
 
-    labels = written(open_nodes.select("node", "label", "text").mapInArrow(sets, "its_node long, label long, members array<long>"), "open-sets")
+    labels = written(open_nodes.select("node", "label", "text").mapInArrow(sets, "its_node long, label long, members array<int>"), "open-sets")
     each = written(open_nodes.select("node", "text").mapInArrow(run, "node long, n int, shingle long"), "open-shingles")
     often = each.groupBy("shingle").agg(F.count("*").cast("int").alias("often"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
     prefix = each.join(often, "shingle").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(least - 1e-9)) + 1)
     shared = prefix.where("often > 1").join(labels.select("its_node", "label").hint("merge"), F.col("node") == F.col("its_node")).select("shingle", "node", "label", F.col("n").cast("long").alias("n"), F.col("place").cast("long").alias("place"))
     rare = cut(shared)
-    torn = rare.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
-    rare = cut(rare.join(torn, "shingle", "left_semi"))
+    torn = rare.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least_n")).where("low < high").select("shingle", "least_n")
+    # Places that leave room with the smallest partner only; with a larger one more has to be shared.
+    rare = cut(rare.join(torn, "shingle").where(1 + F.col("n") - F.col("place") >= F.lit(least / (1 + least)) * (F.col("n") + F.col("least_n")) - 1e-9).drop("least_n"))
     members = labels.select("its_node", "members").hint("merge")
     sizes = rare.groupBy("shingle").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     salted = rare.join(sizes, "shingle").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -234,20 +236,19 @@ def rare_pairs(open_nodes: DataFrame, shingle: int, least: float) -> DataFrame:
                     common = np.add.reduceat((own[i][at] == every).astype(np.int64), np.append(0, np.cumsum(n[told])[:-1]))
                     near = np.array(told)[common >= least * (n[i] + n[told] - common)].tolist()
                 open_ones = [x for x in j.tolist() if own[i] is None or own[x] is None]
-                sure = []
+                some = open_ones
                 for x in near:
                     if label[x] != label[i]:
-                        sure.append(x)
+                        some.append(x)
                         label[label == label[x]] = label[i]  # one component from here on
-                for some, known in ((sure, True), (open_ones, False)):
-                    if some:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[some])), pa.array(np.maximum(node[i], node[some])), pa.array([known] * len(some))], ["a", "b", "sure"])
+                if some:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[some])), pa.array(np.maximum(node[i], node[some]))], ["a", "b"])
 
         held: list[list] = [[], [], [], [], []]
         key = None
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in range(7)]
-            own = [np.sort(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in batch.column(7)]
+            own = [x.values.to_numpy(zero_copy_only=False) if x.is_valid else None for x in batch.column(7)]
             for k, row in enumerate(zip(*columns[:3])):
                 if row != key:
                     yield from pairs(held)
@@ -256,7 +257,7 @@ def rare_pairs(open_nodes: DataFrame, shingle: int, least: float) -> DataFrame:
                     values.append(column[k])
         yield from pairs(held)
 
-    return rows.select("shingle", "low", "high", "node", "label", "n", "place", "members").mapInArrow(compare, "a long, b long, sure boolean").distinct()
+    return rows.select("shingle", "low", "high", "node", "label", "n", "place", "members").mapInArrow(compare, "a long, b long").distinct()
 
 
 def judged(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -295,8 +296,7 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST)
         still_open = torn(large, labels)
         if not still_open.isEmpty():
             pairs = cut(rare_pairs(still_open.join(texts, "node"), shingle, least))
-            told = judged(pairs.where("not sure").select("a", "b"), texts, shingle, least).where("near").select("a", "b")
-            links = cut(links.unionByName(pairs.where("sure").select("a", "b")).unionByName(told))
+            links = cut(links.unionByName(judged(pairs, texts, shingle, least).where("near").select("a", "b")))
             labels = components(links)
         grouped = nodes.join(labels.hint("merge"), "node", "left").withColumn("node", F.coalesce("label", "node"))
     best = grouped.groupBy("node").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
