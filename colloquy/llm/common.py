@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -55,6 +56,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collects garbage on the driver, so that Spark's cleaner removes the shuffles of results that were cut and let go.
+
+    Without it many small shuffles stay on the executors' disks until the driver's heap happens to fill.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have, whatever the case."""
     taken = {c.lower() for c in df.columns}

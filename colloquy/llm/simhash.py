@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import cut, free_name, written
+from .common import cut, free_name, tidy, written
 
 SEED = 42
 SHINGLE = 3
@@ -196,7 +196,14 @@ def linked(fps: DataFrame, threshold: int = 2) -> DataFrame:
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, label (the smallest node of its component) for all nodes of links (a, b).
+    """node, label (the smallest node of its component) for all nodes of links (a, b); what the rounds shuffled is let go."""
+    labels = settled(links, max_rounds)
+    tidy(links.sparkSession)
+    return labels
+
+
+def settled(links: DataFrame, max_rounds: int) -> DataFrame:
+    """The labels of `components`.
 
     Each round gives every node the least label of its neighbours, hooks the old label's node on it, and follows labels
     once; sums are pre-aggregated, and both sides of each join are cut, so a node with very many links can be split.
