@@ -16,6 +16,9 @@ WORD_BYTES = bytes((b + 32 if 0x41 <= b <= 0x5A else b if b in _KEEP else 0x20)
 #: Text that one step inside a task handles at once, in bytes.
 CHUNK_BYTES = 4 << 20
 
+#: Rows of a few numbers that one task handles well.
+TASK_ROWS = 50_000
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,9 +46,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the shared folder; of about so many narrow rows, in no more files than they need."""
     shared_folder(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // TASK_ROWS)))
     return df.checkpoint(eager=True)
 
 

@@ -207,17 +207,19 @@ def settled(links: DataFrame, max_rounds: int) -> DataFrame:
 
     Each round gives every node the least label of its neighbours, hooks the old label's node on it, and follows labels
     once; sums are pre-aggregated, and both sides of each join are cut, so a node with very many links can be split.
+    The tables of the rounds have as many parts as their rows need, whatever the session's number of shuffle partitions.
     """
-    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
+    rows = 2 * links.count()
+    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), rows)
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), rows)
     for _ in range(max_rounds):
         seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label")
         least = seen.unionByName(labels).groupBy("node").agg(F.min("label").alias("new"))
-        hooked = cut(least.join(labels, "node").select("node", "label", "new"))
+        hooked = cut(least.join(labels, "node").select("node", "label", "new"), rows)
         moved = hooked.where("new < label").select(F.col("label").alias("node"), "new")
-        best = cut(hooked.select("node", "new").unionByName(moved).groupBy("node").agg(F.min("new").alias("label")))
+        best = cut(hooked.select("node", "new").unionByName(moved).groupBy("node").agg(F.min("new").alias("label")), rows)
         jumped = best.select("node", F.col("label").alias("via")).join(best.select(F.col("node").alias("via"), F.col("label").alias("far")), "via", "left").select("node", F.least("via", "far").alias("label"))
-        after = cut(jumped)
+        after = cut(jumped, rows)
         if after.join(labels.select("node", F.col("label").alias("old")), "node").where("label <> old").isEmpty():
             return after
         labels = after
