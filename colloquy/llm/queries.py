@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, language, licenses, media, mixing, simhash, token_count, toxicity, url_filter
+from . import decontaminate, html_extract, language, licenses, media, mixing, quality, ranked_search, runs, simhash, token_count, toxicity, url_filter
 from .common import read_table
 
 
@@ -62,6 +62,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(read_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_url_filter, op4_media_columns, op5_mix_sources, op6_toxicity, op7_decontaminate, op8_html_text, op9_language, op10_simhash)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
-ORACLE_SQL = {"op3_url_filter": url_filter.ORACLE_SQL, "op5_mix_sources": mixing.ORACLE_SQL}
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return quality.quality_scores(docs, quality.learn(docs, labels.where(~quality.held_out())))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.periodic_runs(read_table(spark, sf_dir, "documents"), prepare=runs.rebuilt))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_url_filter, op4_media_columns, op5_mix_sources, op6_toxicity, op7_decontaminate, op8_html_text, op9_language, op10_simhash, op11_ranked_search, op12_quality, op13_periodic_runs)}
+
+ORACLE_SQL = {"op3_url_filter": url_filter.ORACLE_SQL, "op5_mix_sources": mixing.ORACLE_SQL, "op11_ranked_search": ranked_search.ORACLE_SQL}
