@@ -10,13 +10,15 @@ the statistics are read from the index too.
 1. The head of every list, its `limit` best postings, is fetched. The sums of what an item's heads hold are lower
    bounds; the limit-th largest, tau, is one for the limit-th best document.
 2. A document above tau has a value of at least tau / m in one of the item's m lists. Every list gives all its postings
-   with such a value. What is missing in a list is below the threshold, so each found document has an upper bound; those
-   whose upper bound is below the new limit-th lower bound go.
+   with such a value for some item; they meet by document, once for all items, and are added up there. What is missing
+   in a list is below the threshold, so each found document has an upper bound; those whose upper bound is below the
+   new limit-th lower bound go, first among a task's own documents, then among all.
 3. The candidates' postings in all of the item's lists are looked up, and their exact scores ranked.
 
-Nothing is cut off before phase 3: a document that isn't a candidate can't be among the best.
+Nothing is cut off before phase 3: a document that isn't a candidate can't be among the best. Items are handled in
+blocks of at most BLOCK_TERMS terms (one item at least), so what goes to the driver and to all executors is bounded.
 
-Weights and scores are whole numbers as `WEIGHT`, `NORM` and `IMPACT` say. Defined cases: null texts have no terms, and
+Weights and scores are whole numbers as `weight`, `NORM` and `IMPACT` say. Defined cases: null texts have no terms, and
 documents without terms aren't counted; rows of one doc_id are documents of their own, equal scores are ranked by doc_id
 (null last), then by row; rows of one item are one item (null ids too), and its repeated terms count once; an item
 without terms, or without a document above 0, has no result; texts are read whole, however long; empty tables give an
@@ -25,6 +27,7 @@ empty result; other columns are left aside.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,13 +40,20 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, new_folder, words_of, written
 
-POSTING = "term string, row long, doc_id long, times long, length long"
+POSTING = "term string, row long, doc_id long, times int, length int"
+#: Terms of a block of items; its lists' heads go to the driver.
+BLOCK_TERMS = 50_000
+#: Postings that a task adds up at once.
+CHUNK_POSTINGS = 200_000
 #: Rows that a table that goes to all executors has at most; beyond, Spark joins by shuffles.
 BROADCAST_ROWS = 200_000
-#: Of a term, from the documents N and the term's documents df; of a document, from its length; of a posting, before the weight.
-WEIGHT = "CAST(floor(1000 * ln(CAST(2 * N + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT)"
-NORM = "100 - 90 + ((90 * length * N) DIV L)"
-IMPACT = f"(1000000000 * times) DIV (1000 * times + 8 * ({NORM}))"
+#: Of a document, from its length, all documents N and all terms L; of a posting, before its term's weight.
+NORM = "100 - 90 + ((90L * length * N) DIV L)"
+IMPACT = f"(1000000000L * times) DIV (1000L * times + 8 * ({NORM}))"
+
+
+def weight(n: int, df: int) -> int:
+    return math.floor(1000 * math.log((2 * n + 2) / (2 * df + 1)))
 
 
 @dataclass
@@ -76,12 +86,12 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None) -> Index:
             for word, k in counts.items():
                 lists.setdefault(word, []).append((i, k))
         at = np.array([i for own in lists.values() for i, _ in own])
-        times = pa.array([k for own in lists.values() for _, k in own], pa.int64())
+        times = pa.array([k for own in lists.values() for _, k in own], pa.int32())
         offsets = pa.array(np.cumsum([0, *map(len, lists.values())]), pa.int32())
-        of = lambda values: pa.ListArray.from_arrays(offsets, pa.array(values, pa.int64()).take(pa.array(at)))
+        of = lambda values, kind=pa.int64(): pa.ListArray.from_arrays(offsets, pa.array(values, kind).take(pa.array(at)))
         terms_ = pa.array([None if w is None else w.decode() for w in lists], pa.string())
         return pa.RecordBatch.from_arrays(
-            [terms_, pa.array([rows[0][0]] * len(lists)), of([r[0] for r in rows]), of([r[1] for r in rows]), pa.ListArray.from_arrays(offsets, times), of([r[3] for r in rows])],
+            [terms_, pa.array([rows[0][0]] * len(lists)), of([r[0] for r in rows]), of([r[1] for r in rows]), pa.ListArray.from_arrays(offsets, times), of([r[3] for r in rows], pa.int32())],
             ["term", "block", "row", "doc_id", "times", "length"],
         )
 
@@ -102,7 +112,7 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None) -> Index:
             yield block(rows)
 
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    blocks = source.mapInArrow(run, "term string, block long, row array<long>, doc_id array<long>, times array<long>, length array<long>")
+    blocks = source.mapInArrow(run, "term string, block long, row array<long>, doc_id array<long>, times array<int>, length array<int>")
     # The documents' own postings have no term that could deal them out.
     dealt = blocks.withColumn("part", F.coalesce("term", F.col("block").cast("string"))).hint("rebalance", F.col("part")).sortWithinPartitions("term", "block")
     postings = dealt.select("term", F.inline(F.arrays_zip("row", "doc_id", "times", "length")))
@@ -132,42 +142,144 @@ def best(df: DataFrame, keys: list[str], order: list, limit: int, rank: str = "r
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= limit)
 
 
+@dataclass
+class Asked:
+    """What a block of items asks of the lists, by list: its items, their thresholds, and per item its lists and tau."""
+
+    items: list[int | None]
+    terms: dict[str, int]
+    weights: np.ndarray
+    begin: np.ndarray
+    item: np.ndarray
+    count: np.ndarray
+    tau: np.ndarray
+    limit: int
+
+    @property
+    def least(self) -> np.ndarray:
+        """The least impact that each item wants of each list, along item."""
+        w = np.repeat(self.weights, np.diff(self.begin))
+        m, tau = self.count[self.item], self.tau[self.item]
+        return np.maximum(1, (tau + w * m - 1) // (w * m))
+
+    def lower_bounds(self, term: np.ndarray, row: np.ndarray, impact: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """item, row, the sum of the values that its lists give, and in how many lists it is."""
+        held = np.diff(self.begin)[term]
+        at = np.repeat(self.begin[term] - (np.cumsum(held) - held), held) + np.arange(held.sum())
+        value, its_row = np.repeat(impact, held), np.repeat(row, held)
+        met = value >= least[at]
+        at, value, its_row = at[met], value[met], its_row[met]
+        value *= np.repeat(self.weights, np.diff(self.begin))[at]
+        rows, number = np.unique(its_row, return_inverse=True)
+        key = number * len(self.items) + self.item[at]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        sums = np.add.reduceat(value[order], begin) if len(key) else np.zeros(0, np.int64)
+        return key[begin] % len(self.items), rows[key[begin] // len(self.items)], sums, np.diff(np.r_[begin, len(key)])
+
+    def last_best(self, item: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Each item's limit-th largest value; 0 if it has fewer."""
+        order = np.lexsort((-value, item))
+        item, value = item[order], value[order]
+        rank = np.arange(len(item)) - np.searchsorted(item, item)
+        out = np.zeros(len(self.items), np.int64)
+        out[item[rank == self.limit - 1]] = value[rank == self.limit - 1]
+        return out
+
+
+def asked_blocks(terms: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
+    block: list[tuple[int | None, str]] = []
+    for r in terms.orderBy("item_id", "term").toLocalIterator():
+        if len(block) >= BLOCK_TERMS and block[-1][0] != r.item_id:
+            yield block
+            block = []
+        block.append((r.item_id, r.term))
+    if block:
+        yield block
+
+
 def top_documents(index: Index, terms: DataFrame, limit: int = 10) -> DataFrame:
     """item_id, rank, doc_id, score: each item's best documents. terms: item_id, term, as item_terms gives them."""
+    out = None
+    for block in asked_blocks(terms):
+        found = top_of_block(index, block, limit)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else terms.sparkSession.createDataFrame([], "item_id long, rank int, doc_id long, score long")
+
+
+def top_of_block(index: Index, block: list[tuple[int | None, str]], limit: int) -> DataFrame:
+    spark = index.postings.sparkSession
     n, total = index.figures()
     figures = [F.lit(n).cast("long").alias("N"), F.lit(max(total, 1)).cast("long").alias("L")]
     values = index.lists.select("*", *figures).select("term", "row", "doc_id", F.expr(IMPACT).alias("impact"))
-    asked = small(terms.select("term").distinct())
-    often = index.lists.join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    weights = often.select("term", figures[0], "df").select("term", F.expr(WEIGHT).alias("w")).where("w > 0")
+    names = spark.createDataFrame([(t,) for t in sorted({t for _, t in block})], "term string")
+    often = {r.term: r.df for r in index.lists.join(F.broadcast(names), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).collect()}
     # Lists that can't add to a score are none.
-    lists = written(terms.withColumn("item", F.coalesce(F.col("item_id").cast("string"), F.lit(""))).join(weights, "term"), "search-lists")
+    lists = {t: w for t, df in sorted(often.items()) if (w := weight(n, df)) > 0}
+    number = {t: i for i, t in enumerate(lists)}
+    items = list(dict.fromkeys(i for i, _ in block))
+    at = {i: k for k, i in enumerate(items)}
+    pairs = np.array(sorted((number[t], at[i]) for i, t in block if t in number), np.int64).reshape(-1, 2)
+    begin = np.searchsorted(pairs[:, 0], np.arange(len(lists) + 1))
+    asked = Asked(items, number, np.array(list(lists.values()), np.int64), begin, pairs[:, 1], np.bincount(pairs[:, 1], minlength=len(items)), np.zeros(len(items), np.int64), limit)
 
     # 1. Heads and lower bounds.
-    of_lists = values.join(small(lists.select("term").distinct()), "term", "left_semi")
-    heads = written(best(of_lists, ["term"], [F.desc("impact"), "row"], limit).select("term", "row", "impact"), "search-heads")
-    seen = heads.join(small(lists.select("item", "term", "w")), "term").groupBy("item", "row").agg(F.sum(F.expr("w * impact")).alias("lower"))
-    tau = best(seen, ["item"], [F.desc("lower")], limit).where(F.col("rank") == limit).select("item", F.col("lower").alias("tau"))
-    count = lists.groupBy("item").agg(F.count("*").alias("m"))
-    asking = written(lists.join(count.join(tau, "item", "left").na.fill(0, ["tau"]), "item"), "search-thresholds")
-
-    # 2. All postings at or above each list's threshold, the lowest that any item sets first.
-    asking = asking.withColumn("least", F.expr("(tau + w * m - 1) DIV (w * m)"))
-    lowest = asking.groupBy("term").agg(F.min("least").alias("lowest"))
-    above = values.join(small(lowest), "term").where("impact > 0 and impact >= lowest").select("term", "row", "doc_id", "impact")
-    met = above.join(small(asking.select("item", "term", "w", "m", "tau", "least")), "term").where("impact >= least")
-    sums = met.groupBy("item", "row").agg(F.sum(F.expr("w * impact")).alias("lower"), F.count("*").alias("k"), F.first("m").alias("m"), F.first("tau").alias("tau"))
-    bounded = written(sums.select("item", "row", "lower", F.expr("lower + IF(tau > 0, (m - k) * ((tau - 1) DIV m), 0)").alias("upper")), "search-bounds")
+    numbered = spark.createDataFrame(list(number.items()), "term string, list long")
+    heads = best(values.join(F.broadcast(numbered), "term"), ["list"], [F.desc("impact"), "row"], limit).select("list", "row", "impact").toPandas()
+    item, _, lower, _ = asked.lower_bounds(heads["list"].to_numpy(np.int64), heads["row"].to_numpy(np.int64), heads["impact"].to_numpy(np.int64), np.ones(len(pairs), np.int64))
+    asked.tau = asked.last_best(item, lower)
+
+    # 2. All postings at or above the lowest threshold that an item sets for a list, and bounds where they meet by document.
+    lowest = np.minimum.reduceat(asked.least, begin[:-1]).tolist() if len(lists) else []
+    wanted = spark.createDataFrame([(t, i, x) for (t, i), x in zip(number.items(), lowest)], "term string, list long, lowest long")
+    above = values.join(F.broadcast(wanted), "term").where("impact >= lowest").select("row", "list", "impact")
+    shared = spark.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
+        least, own = asked.least, np.zeros(len(asked.items), np.int64)
+        best_item, best_value = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for row, list_, impact in by_rows(batches):
+            item, its_row, lower, k = asked.lower_bounds(list_, row, impact, least)
+            m, tau = asked.count[item], asked.tau[item]
+            upper = lower + np.where(tau > 0, (m - k) * ((tau - 1) // m), 0)
+            better = lower > own[item]
+            best_item, best_value = np.r_[best_item, item[better]], np.r_[best_value, lower[better]]
+            own = np.maximum(own, asked.last_best(best_item, best_value))
+            keep = best_value >= own[best_item]
+            best_item, best_value = best_item[keep], best_value[keep]
+            keep = upper >= np.maximum(own, asked.tau)[item]
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (item, its_row, lower, upper)], ["item", "row", "lower", "upper"])
+
+    bounded = written(above.repartition("row").sortWithinPartitions("row").mapInArrow(run, "item long, row long, lower long, upper long"), "search-bounds")
     tau2 = best(bounded.select("item", "lower"), ["item"], [F.desc("lower")], limit).where(F.col("rank") == limit).select("item", F.col("lower").alias("tau2"))
-    candidates = written(bounded.join(small(tau2), "item", "left").where("tau2 is null or upper >= tau2").select("item", "row"), "search-candidates")
+    candidates = written(bounded.join(F.broadcast(tau2), "item", "left").where("tau2 is null or upper >= tau2").select("item", "row"), "search-candidates")
 
     # 3. Exact scores.
-    own = values.join(small(candidates.select("row").distinct()), "row", "left_semi").join(small(lists.select("item", "item_id", "term", "w")), "term")
+    by_list = spark.createDataFrame([(t, w, items[j], int(j)) for (t, i), w in zip(number.items(), lists.values()) for j in pairs[begin[i] : begin[i + 1], 1]], "term string, w long, item_id long, item long")
+    own = values.join(small(candidates.select("row").distinct()), "row", "left_semi").join(F.broadcast(by_list), "term")
     exact = own.join(small(candidates), ["item", "row"], "left_semi").groupBy("item", "item_id", "row", "doc_id").agg(F.sum(F.expr("w * impact")).alias("score")).where("score > 0")
     ranked = best(exact, ["item"], [F.desc("score"), F.asc_nulls_last("doc_id"), "row"], limit)
     return ranked.select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
 
+def by_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Chunks of postings that are sorted by their first column, whose values aren't torn apart."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        size += len(batch)
+        if size >= CHUNK_POSTINGS and held[0][0][0] != held[-1][0][-1]:
+            first, *rest = (np.concatenate(c) for c in zip(*held))
+            end = int(np.searchsorted(first, first[-1]))
+            yield first[:end], *(x[:end] for x in rest)
+            held, size = [[first[end:], *(x[end:] for x in rest)]], len(first) - end
+    if held:
+        yield tuple(np.concatenate(c) for c in zip(*held))
+
+
 def search(docs: DataFrame, items: DataFrame, limit: int = 10) -> DataFrame:
     """The best documents for each item; the index holds the items' terms."""
     terms = written(item_terms(items), "search-terms")
