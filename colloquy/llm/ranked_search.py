@@ -10,7 +10,7 @@ the statistics are read from the index too.
 1. The head of every list, its `limit` best postings, is fetched. The sums of what an item's heads hold are lower
    bounds; the limit-th largest, tau, is one for the limit-th best document.
 2. A document above tau has a value of at least tau / m in one of the item's m lists. Every list gives all its postings
-   with such a value for some item; they meet by document, once for all items, and are added up there. What is missing
+   with a value of at least a SLACK-th of that for some item (the more, the closer the bounds); they meet by document, once for all items, and are added up there. What is missing
    in a list is below the threshold, so each found document has an upper bound; those whose upper bound is below the
    new limit-th lower bound go, first among a task's own documents, then among all.
 3. The candidates' postings in all of the item's lists are looked up, and their exact scores ranked.
@@ -43,8 +43,11 @@ from .common import CHUNK_BYTES, new_folder, words_of, written
 POSTING = "term string, row long, doc_id long, times int, length int"
 #: Terms of a block of items; its lists' heads go to the driver.
 BLOCK_TERMS = 50_000
-#: Postings that a task adds up at once.
+#: The threshold is so many times lower than need be: what a document misses adds less to its upper bound.
+SLACK = 8
+#: Postings that a task adds up at once, and bounds that it holds back at most.
 CHUNK_POSTINGS = 200_000
+HELD_BOUNDS = 500_000
 #: Rows that a table that goes to all executors has at most; beyond, Spark joins by shuffles.
 BROADCAST_ROWS = 200_000
 #: Of a document, from its length, all documents N and all terms L; of a posting, before its term's weight.
@@ -160,7 +163,7 @@ class Asked:
         """The least impact that each item wants of each list, along item."""
         w = np.repeat(self.weights, np.diff(self.begin))
         m, tau = self.count[self.item], self.tau[self.item]
-        return np.maximum(1, (tau + w * m - 1) // (w * m))
+        return np.maximum(1, (tau + SLACK * w * m - 1) // (SLACK * w * m))
 
     def lower_bounds(self, term: np.ndarray, row: np.ndarray, impact: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """item, row, the sum of the values that its lists give, and in how many lists it is."""
@@ -213,8 +216,8 @@ def top_of_block(index: Index, block: list[tuple[int | None, str]], limit: int)
     n, total = index.figures()
     figures = [F.lit(n).cast("long").alias("N"), F.lit(max(total, 1)).cast("long").alias("L")]
     values = index.lists.select("*", *figures).select("term", "row", "doc_id", F.expr(IMPACT).alias("impact"))
-    names = spark.createDataFrame([(t,) for t in sorted({t for _, t in block})], "term string")
-    often = {r.term: r.df for r in index.lists.join(F.broadcast(names), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).collect()}
+    wanted = spark.createDataFrame([(t,) for t in sorted({t for _, t in block})], "term string")
+    often = {r.term: r.df for r in index.lists.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).collect()}
     # Lists that can't add to a score are none.
     lists = {t: w for t, df in sorted(often.items()) if (w := weight(n, df)) > 0}
     number = {t: i for i, t in enumerate(lists)}
@@ -236,21 +239,31 @@ def top_of_block(index: Index, block: list[tuple[int | None, str]], limit: int)
     above = values.join(F.broadcast(wanted), "term").where("impact >= lowest").select("row", "list", "impact")
     shared = spark.sparkContext.broadcast(asked)
 
+    names = ["item", "row", "lower", "upper"]
+
+    def still(bounds: list[np.ndarray], own: np.ndarray) -> list[np.ndarray]:
+        keep = bounds[3] >= np.maximum(own, shared.value.tau)[bounds[0]]
+        return [x[keep] for x in bounds]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = shared.value
         least, own = asked.least, np.zeros(len(asked.items), np.int64)
+        held = [np.zeros(0, np.int64)] * 4
         best_item, best_value = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for row, list_, impact in by_rows(batches):
             item, its_row, lower, k = asked.lower_bounds(list_, row, impact, least)
             m, tau = asked.count[item], asked.tau[item]
-            upper = lower + np.where(tau > 0, (m - k) * ((tau - 1) // m), 0)
+            upper = lower + np.where(tau > 0, (m - k) * ((tau - 1) // (SLACK * m)), 0)
             better = lower > own[item]
             best_item, best_value = np.r_[best_item, item[better]], np.r_[best_value, lower[better]]
             own = np.maximum(own, asked.last_best(best_item, best_value))
             keep = best_value >= own[best_item]
             best_item, best_value = best_item[keep], best_value[keep]
-            keep = upper >= np.maximum(own, asked.tau)[item]
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (item, its_row, lower, upper)], ["item", "row", "lower", "upper"])
+            held = still([np.concatenate(c) for c in zip(held, (item, its_row, lower, upper))], own)
+            if len(held[0]) > HELD_BOUNDS:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names)
+                held = [x[:0] for x in held]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names)
 
     bounded = written(above.repartition("row").sortWithinPartitions("row").mapInArrow(run, "item long, row long, lower long, upper long"), "search-bounds")
     tau2 = best(bounded.select("item", "lower"), ["item"], [F.desc("lower")], limit).where(F.col("rank") == limit).select("item", F.col("lower").alias("tau2"))
