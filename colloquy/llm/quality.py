@@ -177,11 +177,10 @@ def discriminant(low: Sums, high: Sums) -> Discriminant:
     return Discriminant(centre, scale, density(low), density(high), 1.0, odds)
 
 
-def with_curve(model: Discriminant, features: np.ndarray, label: np.ndarray) -> Discriminant:
+def with_curve(model: Discriminant, d: np.ndarray, label: np.ndarray) -> Discriminant:
     """The logistic curve over the difference, by bounded Newton steps from the slope 1; a prior keeps it near that where classes don't overlap."""
     if model.low is None or not 0 < label.sum() < len(label):
         return model
-    d = model.difference(features)
     x, first = np.stack([d, np.ones_like(d)], axis=1), np.array([1.0, 0.0])
     w = first.copy()
     for _ in range(100):
@@ -197,8 +196,9 @@ def known_labels(labels: DataFrame) -> DataFrame:
     return labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("its_id")).agg((F.min("quality") >= 1).cast("int").alias("quality"))
 
 
-def features_of(docs: DataFrame, kept: list[str]) -> DataFrame:
-    """The columns kept, and features of text."""
+def features_of(docs: DataFrame) -> DataFrame:
+    """doc_id and features, a row per document: learning and scoring both read these, so that each text is read once."""
+    kept = ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,7 +218,7 @@ def class_sums(rows: DataFrame) -> dict[int, Sums]:
         sums = {y: np.zeros(1 + p + p * p) for y in (0, 1)}
         for batch in batches:
             label = batch.column(0).to_numpy(zero_copy_only=False)
-            x = batch.column(1).flatten().to_numpy().reshape(-1, p)
+            x = matrix(batch.column(1))
             for y, s in sums.items():
                 own = x[label == y]
                 s += np.r_[len(own), own.sum(axis=0), (own.T @ own).ravel()]
@@ -231,41 +231,53 @@ def class_sums(rows: DataFrame) -> dict[int, Sums]:
     return {y: Sums(v[0], v[1 : p + 1], v[p + 1 :].reshape(p, p)) for y, v in out.items()}
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Discriminant:
-    """docs (doc_id, text) and labels (doc_id, quality) of training rows only."""
-    known = docs.select("doc_id", "text").join(known_labels(labels), F.col("doc_id") == F.col("its_id"))
-    rows = written(features_of(known, ["doc_id", "quality"]), "quality-features")
-    sums = class_sums(rows)
+def learn(rows: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Discriminant:
+    """rows: doc_id, features. labels: doc_id, quality, of training rows only."""
+    known = rows.select("doc_id", "features").join(known_labels(labels), F.col("doc_id") == F.col("its_id"))
+    sums = class_sums(known)
     model = discriminant(sums[0], sums[1])
-    sample = rows.select("quality", "features", F.xxhash64("doc_id").alias("h"), F.hash("features").alias("f")).orderBy("h", "f").limit(sample_docs).collect()
-    if not sample:
-        return model
-    return with_curve(model, np.array([r.features for r in sample]), np.array([r.quality for r in sample], float))
+    first = known.withColumns({"h": F.xxhash64("doc_id"), "f": F.xxhash64("features")}).orderBy("h", "f").limit(sample_docs)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.difference(matrix(batch.column(1))))], ["quality", "difference"])
+
+    sample = first.select("quality", "features").mapInArrow(run, "quality int, difference double").toPandas()
+    return with_curve(model, sample["difference"].to_numpy(float), sample["quality"].to_numpy(float))
+
+
+def matrix(features: pa.Array) -> np.ndarray:
+    return features.flatten().to_numpy().reshape(-1, len(FEATURES))
 
 
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def quality_scores(docs: DataFrame, model: Discriminant, carry: str | None = None) -> DataFrame:
-    """doc_id, held_out, score, predicted; with carry all columns of docs, and the score under that name."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs if carry else docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
+def scored(source: DataFrame, model: Discriminant, score: str, given: str) -> DataFrame:
+    """source's columns but the features, and score. given: the column of texts, which stays, or of features."""
+    shared = source.sparkSession.sparkContext.broadcast(model)
     names = source.columns
-    at = names.index("text")
-    kept = [i for i in range(len(names)) if carry or i != at]
-    score = carry or "score"
+    at, is_text = names.index(given), dict(source.dtypes)[given] == "string"
+    kept = [i for i in range(len(names)) if is_text or i != at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([described(t.as_py()) for t in batch.column(at)]).reshape(len(batch), len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(shared.value.score(found))], names=[*(names[i] for i in kept), score])
+            x = np.array([described(t.as_py()) for t in batch.column(at)]).reshape(len(batch), len(FEATURES)) if is_text else matrix(batch.column(at))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(shared.value.score(x))], names=[*(names[i] for i in kept), score])
+
+    return source.mapInArrow(run, StructType([source.schema.fields[i] for i in kept]).add(score, DoubleType()))
+
 
-    found = source.mapInArrow(run, StructType([source.schema.fields[i] for i in kept]).add(score, DoubleType()))
-    return found if carry else found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted of docs (doc_id, text), learnt from labels (doc_id, quality) of training rows."""
+    rows = written(features_of(docs), "quality-features")
+    found = scored(rows.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "features"), learn(rows, labels), "score", "features")
+    return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def of_quality(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score at least the threshold, with the columns of docs; repeated rows stay."""
     score = free_name(docs, "quality_score")
-    return quality_scores(docs, model, score).where(F.col(score) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return scored(docs, model, score, "text").where(F.col(score) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
