@@ -39,11 +39,11 @@ def day_key(prefix: str, upstream: Column, seconds: Column) -> Column:
 
 
 def short_hash(text: Column) -> Column:
-    """31 * h + character in signed 32 bits, its magnitude in base 36."""
+    """31 * h + unit in signed 32 bits over the text's UTF-16 units, in base 36 with its sign."""
     wrap = lambda x: F.pmod(x + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    h = F.aggregate(F.transform(chars, lambda c: F.ascii(c).cast("long")), F.lit(0).cast("long"), lambda acc, c: wrap(acc * 31 + c))
-    return F.lower(F.conv(F.abs(h).cast("string"), 10, 36))
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
+    h = F.aggregate(F.transform(units, lambda u: F.conv(u, 16, 10).cast("long")), F.lit(0).cast("long"), lambda acc, c: wrap(acc * 31 + c))
+    return F.concat(F.when(h < 0, "-").otherwise(""), F.lower(F.conv(F.abs(h).cast("string"), 10, 36)))
 
 
 def safe_body(raw: Column, limit: int = BODY_BYTES) -> tuple[Column, Column]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,14 +42,18 @@ def without_repeats(attachments: Column) -> Column:
 
 
 def live_forks(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming messages that answer a stored message which already has another child: session_id, id, fork_of and the new branch.
+    """Completions that fork: session_id, completion, fork_of (the stored sibling) and the new branch's id.
 
-    stored and incoming: session_id, id, parent_id, ts. Children are joined on the parent, never looked for in texts.
+    stored: session_id, id, parent_id, role, text, ts. incoming: the same, with completion, what arrived together. A
+    completion forks where a stored message of its session has the same parent and role, but another text; the earliest
+    such message is the sibling. The same text again is a replay, and a parent that nothing stored has is no fork. Of a
+    completion's messages with one parent and role the first counts.
     """
-    children = stored.where("parent_id is not null").groupBy(F.col("session_id").alias("its_session"), F.col("parent_id").alias("its_parent")).agg(F.count("*").alias("children"))
-    met = incoming.join(children, (F.col("session_id") == F.col("its_session")) & (F.col("parent_id") == F.col("its_parent")))
-    nth = F.row_number().over(Window.partitionBy("session_id", "parent_id").orderBy("ts", "id"))
-    return met.select("session_id", "id", F.col("parent_id").alias("fork_of"), F.concat(F.lit("b"), (F.col("children") + nth - 1).cast("string")).alias("branch_id"))
+    first = incoming.where("parent_id is not null").groupBy("session_id", "completion", "parent_id", "role").agg(F.min_by(F.struct(F.coalesce("text", F.lit("")).alias("text")), F.struct("ts", "id")).alias("new"))
+    old = stored.where("parent_id is not null").select("session_id", "parent_id", "role", F.col("id").alias("sibling"), F.coalesce("text", F.lit("")).alias("its_text"), F.col("ts").alias("its_ts"))
+    other = first.join(old, ["session_id", "parent_id", "role"]).where(F.col("new.text") != F.col("its_text"))
+    found = other.groupBy("session_id", "completion").agg(F.min(F.struct("its_ts", "sibling"))["sibling"].alias("fork_of"))
+    return found.withColumn("branch_id", F.substring(F.sha1(F.concat_ws(":", F.col("completion").cast("string"), "fork_of").cast("binary")), 1, 12))
 
 
 def evidence_slice(chosen: DataFrame, tables: dict[str, tuple[DataFrame, str]]) -> dict[str, DataFrame]:

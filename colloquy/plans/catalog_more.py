@@ -49,7 +49,8 @@ ORACLE_SQL["jon_03_vector_hits"] = f"WITH {_SESSIONS}, semantic AS ({_KNN.replac
 
 query("scl_03_times", "SELECT id, CAST(floor(created_at * 1000) AS BIGINT) AS ms, strftime(make_timestamp(CAST(created_at * 1e6 AS BIGINT)), '%Y-%m-%d %H:%M UTC') AS shown FROM captures", "captures")(lambda c: c.select("id", V.iso_to_ms(V.utc_format(F.col("created_at"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("ms"), V.display_time(F.col("created_at")).alias("shown")))
 query("scl_04_day_keys", "SELECT concat('mcp-proxy:', host, ':', strftime(make_timestamp(CAST(created_at * 1e6 AS BIGINT)), '%Y-%m-%d')) AS session_key, count(*) AS n FROM captures GROUP BY 1", "captures")(lambda c: c.groupBy(V.day_key("mcp-proxy", F.col("host"), F.col("created_at")).alias("session_key")).agg(F.count("*").alias("n")))
-query("scl_15_short_hash", "SELECT id, lower(to_base(abs(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(path, ''), lambda x: unicode(x)::BIGINT)), lambda h, c: ((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648)), 36)) AS h FROM captures", "captures")(lambda c: c.select("id", V.short_hash(F.col("path")).alias("h")))
+query("scl_15_short_hash", """with h AS (SELECT id, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substr(content_text, 1, 60), ''), lambda x: unicode(x)::BIGINT)), lambda h, c: ((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) AS h FROM messages)
+SELECT id, concat(CASE WHEN h < 0 THEN '-' ELSE '' END, lower(to_base(abs(h), 36))) AS h FROM h""", "messages")(lambda m: m.select("id", V.short_hash(F.substring("content_text", 1, 60)).alias("h")))
 query("scl_18_bodies", "SELECT id, substr(body, 1, 20) AS text, CASE WHEN regexp_matches(substr(body, 1, 20), '^\\s*[{\\[]') THEN 'json' ELSE 'text' END AS format FROM (SELECT id, coalesce(body, '') AS body FROM captures)", "captures")(lambda c: c.select("id", V.safe_body(F.col("body"), 20)[0].alias("text"), V.safe_body(F.col("body"), 20)[1].alias("format")))
 _HOSTS = "list_value('api.openai.com', 'claude.ai', 'x.example', 'generativelanguage.googleapis.com', 'api.githubcopilot.com', 'grok.com', '')"
 query("scl_44_providers", f"SELECT id, ({_HOSTS})[1 + id % 7] AS host, (list_value('openai', 'anthropic', 'x.example', 'google', 'github-copilot', 'xai', ''))[1 + id % 7] AS provider FROM captures", "captures")(lambda c: c.select("id", F.element_at(F.array(*[F.lit(x) for x in ("api.openai.com", "claude.ai", "x.example", "generativelanguage.googleapis.com", "api.githubcopilot.com", "grok.com", "")]), (F.col("id") % 7 + 1).cast("int")).alias("host")).withColumn("provider", V.provider_of_host(F.col("host"))))
@@ -82,10 +83,19 @@ query("set_03_attachments", "SELECT id, CASE WHEN turn_index % 2 = 0 THEN 1 ELSE
 
 def _with_parents(m: DataFrame) -> DataFrame:
     parent = F.when(F.col("turn_index") > 0, F.concat_ws("-", F.col("session_id").cast("string"), (F.col("turn_index") - 1).cast("string")))
-    return m.select("session_id", "id", parent.alias("parent_id"), "ts")
+    return m.select("session_id", "id", parent.alias("parent_id"), "role", F.col("content_text").alias("text"), "ts")
 
 
-query("win_06_live_forks", "SELECT session_id, concat(id, 'x') AS id, concat(session_id, '-', turn_index - 1) AS fork_of, 'b1' AS branch_id FROM messages WHERE turn_index > 0 AND turn_index % 2 = 1", "messages")(lambda m: E.live_forks(_with_parents(m), _with_parents(m.where("turn_index % 2 = 1")).withColumn("id", F.concat("id", F.lit("x")))))
+def _arriving(m: DataFrame) -> DataFrame:
+    """Replays of all messages, in pairs; of every third odd turn the text is new, and one in seven has an unknown parent."""
+    text = F.when(F.col("turn_index") % 6 == 1, F.concat(F.col("text"), F.lit(" again"))).otherwise(F.col("text"))
+    parent = F.when(F.col("session_id") % 7 == 3, F.concat("parent_id", F.lit("?"))).otherwise(F.col("parent_id"))
+    rows = _with_parents(m).withColumn("turn_index", F.element_at(F.split("id", "-"), -1).cast("int"))
+    return rows.select("session_id", F.concat("id", F.lit("x")).alias("id"), F.concat_ws("/", F.col("session_id").cast("string"), F.floor(F.col("turn_index") / 2).cast("string")).alias("completion"), parent.alias("parent_id"), "role", text.alias("text"), "ts")
+
+
+query("win_06_live_forks", """SELECT session_id, concat(session_id, '/', turn_index // 2) AS completion, min(id) AS fork_of, substr(sha1(concat(session_id, '/', turn_index // 2, ':', min(id))), 1, 12) AS branch_id
+FROM messages WHERE turn_index % 6 = 1 AND session_id % 7 <> 3 AND content_text IS NOT NULL GROUP BY session_id, turn_index // 2""", "messages")(lambda m: E.live_forks(_with_parents(m), _arriving(m)))
 
 
 def _slice(s: DataFrame, m: DataFrame) -> DataFrame:

@@ -149,3 +149,35 @@ def test_streams(spark, tmp_path):
     q = flows.paired(left, right, "60 seconds").writeStream.format("memory").queryName("pairs").option("checkpointLocation", str(tmp_path / "pairs")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert (1, 2) in [(r.request, r.response) for r in spark.table("pairs").collect()]
+
+
+def test_short_hash(spark):
+    from colloquy.functions import convert
+
+    def by_units(text):
+        h = 0
+        for unit in memoryview(text.encode("utf-16-le")).cast("H") if text else []:
+            h = ((h << 5) - h + unit + 2**31) % 2**32 - 2**31
+        digits, n = "", abs(h)
+        while n:
+            digits, n = "0123456789abcdefghijklmnopqrstuvwxyz"[n % 36] + digits, n // 36
+        return ("-" if h < 0 else "") + (digits or "0")
+
+    texts = ["", "a", "hello world", "negative? " * 7, "😀 and 🜚", "é東京", "x" * 500]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(convert.short_hash(F.col("t")).alias("h")).collect()
+    assert [r.h for r in got] == [by_units(t) for t in texts] and any(r.h.startswith("-") for r in got)
+
+
+def test_live_forks(spark):
+    from colloquy.operators import persist
+
+    columns = "session_id long, id string, parent_id string, role string, text string, ts double"
+    stored = spark.createDataFrame([(1, "a", None, "user", "q", 1.0), (1, "b", "a", "assistant", "one", 2.0), (1, "c", "a", "assistant", "two", 3.0), (1, "d", "b", "user", None, 4.0), (2, "e", "a", "assistant", "other", 1.0)], columns)
+    new = [
+        (1, "r1", "a", "assistant", "one", 9.0, "replay beside a sibling"), (1, "r2", "a", "assistant", "three", 9.0, "regenerated"), (1, "r3", "a", "user", "three", 9.0, "other role"),
+        (1, "r4", "b", "user", "", 9.0, "empty is null"), (1, "r5", "z", "assistant", "x", 9.0, "unknown parent"), (1, "r6", None, "assistant", "x", 9.0, "no parent"),
+        (2, "r7", "a", "assistant", "other", 9.0, "replay"), (1, "r8", "a", "assistant", "two", 9.0, "two of one"), (1, "r9", "b", "user", "new", 9.5, "two of one"),
+    ]
+    got = {r.completion: (r.session_id, r.fork_of) for r in persist.live_forks(stored, spark.createDataFrame(new, columns + ", completion string")).collect()}
+    assert got == {"replay beside a sibling": (1, "c"), "regenerated": (1, "b"), "two of one": (1, "b")}
+    assert persist.live_forks(stored.limit(0), spark.createDataFrame(new, columns + ", completion string")).count() == 0
