@@ -6,6 +6,7 @@ JSON stays text until a field is needed; what doesn't parse is null, never an er
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,10 +20,18 @@ _ANTHROPIC = "struct<model:string,role:string,content:array<struct<type:string,t
 _OPENAI = "struct<model:string,choices:array<struct<message:struct<role:string,content:string>>>>"
 
 
+_EVENT = "struct<choices:array<struct<delta:struct<content:string>,message:struct<content:string>>>,delta:struct<type:string,text:string>>"
+
+
 def _json(c: Column, schema: str) -> Column:
     return F.from_json(c, schema, {"mode": "PERMISSIVE"})
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which stands in the plan, and is worked out, once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def plain_content(c: Column) -> Column:
     """The text of a content value: a string as it is; of a list of blocks the texts, a line each."""
     blocks = _json(c, "array<struct<type:string,text:string>>")
@@ -31,16 +40,19 @@ def plain_content(c: Column) -> Column:
 
 def request_messages(body: Column) -> Column:
     """array<struct<role, content>> of a chat request in either dialect; a system text of its own comes first."""
-    r = _json(body, _REQUEST)
-    listed = F.transform(F.coalesce(r["messages"], F.array().cast("array<struct<role:string,content:string>>")), lambda m: F.struct(T.role_name(m["role"]).alias("role"), plain_content(m["content"]).alias("content")))
-    system = F.when(r["system"].isNotNull(), F.array(F.struct(F.lit("system").alias("role"), plain_content(r["system"]).alias("content")))).otherwise(F.array().cast("array<struct<role:string,content:string>>"))
-    return F.concat(system, listed)
+    none = F.array().cast("array<struct<role:string,content:string>>")
+
+    def of(r: Column) -> Column:
+        listed = F.transform(F.coalesce(r["messages"], none), lambda m: F.struct(T.role_name(m["role"]).alias("role"), plain_content(m["content"]).alias("content")))
+        return F.concat(F.when(r["system"].isNotNull(), F.array(F.struct(F.lit("system").alias("role"), plain_content(r["system"]).alias("content")))).otherwise(none), listed)
+
+    return let(_json(body, _REQUEST), of)
 
 
 def response_message(body: Column) -> Column:
     """struct<role, content> of a chat response in either dialect, or of an event stream of one; null if there is none."""
     whole = F.when(is_event_stream(body), stream_text(body)).otherwise(F.coalesce(F.get(_json(body, _OPENAI)["choices"], F.lit(0))["message"]["content"], _blocks(body)))
-    return F.when(whole.isNotNull() & (whole != ""), F.struct(F.lit("assistant").alias("role"), whole.alias("content")))
+    return let(whole, lambda w: F.when(w.isNotNull() & (w != ""), F.struct(F.lit("assistant").alias("role"), w.alias("content"))))
 
 
 def _blocks(body: Column) -> Column:
@@ -64,11 +76,15 @@ def stream_chunks(body: Column) -> Column:
 
 
 def stream_text(body: Column) -> Column:
-    """The text that an event stream carries, in either dialect: all its deltas in order, without a shuffle."""
-    delta = lambda x: F.coalesce(F.get_json_object(x, "$.choices[0].delta.content"), F.when(F.get_json_object(x, "$.delta.type") == "text_delta", F.get_json_object(x, "$.delta.text")))
-    parts = F.filter(F.transform(stream_chunks(body), delta), lambda t: t.isNotNull())
-    whole = F.transform(stream_chunks(body), lambda x: F.get_json_object(x, "$.choices[0].message.content"))
-    return F.when(F.size(parts) > 0, F.array_join(parts, "")).otherwise(F.get(F.filter(whole, lambda t: t.isNotNull()), F.lit(0)))
+    """The text that an event stream carries, in either dialect: all its deltas in order, without a shuffle; each line is parsed once."""
+    delta = lambda e: F.coalesce(F.get(e["choices"], F.lit(0))["delta"]["content"], F.when(e["delta"]["type"] == "text_delta", e["delta"]["text"]))
+    some = lambda texts: F.filter(texts, lambda t: t.isNotNull())
+
+    def of(events: Column) -> Column:
+        whole = F.get(some(F.transform(events, lambda e: F.get(e["choices"], F.lit(0))["message"]["content"])), F.lit(0))
+        return let(some(F.transform(events, delta)), lambda parts: F.when(F.size(parts) > 0, F.array_join(parts, "")).otherwise(whole))
+
+    return let(F.transform(stream_chunks(body), lambda x: _json(x, _EVENT)), of)
 
 
 def fold_patches(stream: str | None) -> str | None:
