@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import percentiles
+
 BUCKETS = ("hour", "day", "week", "month")
 DAY = 86_400
 MAX_DAYS, MAX_ROWS = 365, 1_000
@@ -132,20 +134,8 @@ def nearest_rank(values: Column, p: float) -> Column:
 
 
 def exact_percentiles(df: DataFrame, key: str, value: str, ps: tuple[float, ...] = (50.0, 95.0)) -> DataFrame:
-    """Nearest-rank percentiles per key without holding a key's values: ranks of distinct values by running counts.
-
-    Equal values are counted first, so that a key's rows shrink to its distinct values before they meet.
-    """
-    rows = df.where(F.col(value).isNotNull()).select(F.col(key).alias("key"), F.col(value).alias("value"))
-    counts = rows.groupBy("key", "value").agg(F.count("*").alias("equal"))
-    order = Window.partitionBy("key").orderBy("value")
-    ranked = counts.withColumn("upto", F.sum("equal").over(order)).join(counts.groupBy("key").agg(F.sum("equal").alias("total")), "key")
-
-    def at(p: float) -> Column:
-        place = F.bround(F.lit(p / 100) * (F.col("total") - 1), 0)
-        return F.min(F.when((F.col("upto") > place) & (F.col("upto") - F.col("equal") <= place), F.col("value"))).alias(f"p{int(p)}")
-
-    return ranked.groupBy(F.col("key").alias(key)).agg(*[at(p) for p in ps])
+    """Nearest-rank percentiles per key, exact, however many values a key has."""
+    return percentiles(df, key, value, ps)
 
 
 def source_health(captures: DataFrame, errors: DataFrame | None, known: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .selection import newest
+
 
 def orphan_requests(captures: DataFrame, messages: DataFrame, min_age: float, now: float) -> DataFrame:
     """Requests older than min_age whose pair has neither a response nor a message."""
@@ -80,7 +82,7 @@ def retained(captures: DataFrame, messages: DataFrame, sessions: DataFrame, cuto
     favourite = sessions.where("favorited = 1").select(F.col("id").alias("session_id"))
     kept_messages = messages.where(F.col("ts") >= cutoff).unionByName(messages.where(F.col("ts") < cutoff).join(favourite, "session_id", "left_semi").select(*messages.columns))
     young = captures.where(F.col("created_at") >= cutoff)
-    kept_captures = young.orderBy(F.desc("created_at"), F.desc("id")).limit(max_rows)
+    kept_captures = newest(young, "created_at", "id", max_rows)
     kept_sessions = sessions.join(kept_messages.select(F.col("session_id").alias("id")), "id", "left_semi").unionByName(sessions.where("favorited = 1").join(kept_messages.select(F.col("session_id").alias("id")), "id", "left_anti"))
     return kept_captures, kept_messages, kept_sessions
 
@@ -94,4 +96,4 @@ def reset(captures: DataFrame, messages: DataFrame, sessions: DataFrame) -> tupl
 
 def pruned_log(rows: DataFrame, ts: str, cutoff: float, max_rows: int | None = None) -> DataFrame:
     young = rows.where(F.col(ts) >= cutoff)
-    return young if max_rows is None else young.orderBy(F.desc(ts), F.desc("id")).limit(max_rows)
+    return young if max_rows is None else newest(young, ts, "id", max_rows)
