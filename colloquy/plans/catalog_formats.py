@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dispatch
+from ..operators import attributes, dispatch
 from ..sources.folders import fresh_folder
 from .catalog import ORACLE_SQL, QUERIES
+from .standins import cte, frame
 
 #: provider, host, path of each tenth.
 PLACES = [
@@ -75,3 +76,25 @@ tool AS (SELECT pair_id, 'remote_call' AS parser, 'mcp-proxy:files:2024-01-01' A
 own AS (SELECT pair_id, CASE k WHEN 0 THEN 'editor_chat' WHEN 1 THEN 'composer_chat' WHEN 2 THEN 'turns_dump' WHEN 3 THEN 'typed_dump' ELSE 'transcript_line' END AS parser, s AS session_key, 0.95 AS confidence, turn, CASE WHEN role = 'system' THEN 'assistant' ELSE role END AS role, text FROM x WHERE (k < 4 OR k = 7 AND turn = first) AND (role <> 'system' OR k IN (1, 3)))
 SELECT pair_id, parser, session_key, CAST(round(confidence, 4) AS DOUBLE) AS confidence, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY turn) - 1 AS INTEGER) AS turn_index, role, text AS content_text
 FROM (SELECT * FROM chat UNION ALL SELECT * FROM page UNION ALL SELECT * FROM tool UNION ALL SELECT * FROM own)"""
+
+
+def _with_parts(m: DataFrame) -> DataFrame:
+    """Messages with a picture in every third turn, and with a picture, a text and a file in every fifth."""
+    part = lambda kind, **c: F.struct(F.lit(kind).alias("type"), *[c.get(n, F.lit(None).cast("string")).alias(n) for n in ("text", "url", "raw")])
+    picture, text, file = part("image_url", url=F.concat(F.lit("https://x/"), "id")), part("text", text=F.lit("t.1")), part("file", raw=F.lit("{}"))
+    parts = F.when(F.col("turn_index") % 5 == 4, F.array(picture, text, file)).when(F.col("turn_index") % 3 == 0, F.array(picture))
+    return m.select(F.concat(F.lit("p"), "session_id").alias("pair_id"), "turn_index", "ts", "role", "content_text", parts.alias("parts"))
+
+
+def _rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans written as lines of JSON and read back, then folded into messages."""
+    folder = fresh_folder(spark, "spans")
+    spans = attributes.spans(_with_parts(frame(spark, sf_dir, "messages")))
+    spans.write.json(folder)
+    back = spark.read.schema("pair_id string, start_time double, attributes map<string,string>").json(folder)
+    return attributes.messages_of(back).select("pair_id", "turn_index", "ts", "role", "content_text", F.array_join(F.transform("parts", lambda p: F.concat_ws("=", p["type"], F.coalesce(p["url"], p["text"], p["raw"]))), ",").alias("parts"))
+
+
+QUERIES["nrm_16_rebuilt"] = _rebuilt
+ORACLE_SQL["nrm_16_rebuilt"] = cte("messages") + """ SELECT concat('p', session_id) AS pair_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY role = 'assistant', turn_index) - 1 AS INTEGER) AS turn_index, min(ts) OVER (PARTITION BY session_id) AS ts, role, content_text,
+CASE WHEN turn_index % 5 = 4 THEN concat('image_url=https://x/', id, ',text=t.1,file={}') WHEN turn_index % 3 = 0 THEN concat('image_url=https://x/', id) ELSE '' END AS parts FROM messages"""
