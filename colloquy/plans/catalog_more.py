@@ -21,7 +21,7 @@ query("srh_01_postings", None, "documents")(lambda d: P.search(d, "doc_id", "tex
 ORACLE_SQL["srh_01_postings"] = _TWO + " SELECT * FROM lexical"
 query("srh_07_degraded", None, "documents")(lambda d: P.search(d, "doc_id", "text", _WORDS, "semantic").withColumnRenamed("key", "doc_id"))
 ORACLE_SQL["srh_07_degraded"] = _TWO + " SELECT * FROM lexical"
-query("srh_03_cjk", "SELECT doc_id AS key, 1.0::DOUBLE AS score FROM documents WHERE position('東京' IN text) > 0 ORDER BY doc_id DESC LIMIT 20", "documents")(lambda d: P.search(d, "doc_id", "text", "東京", "lexical"))
+query("srh_03_cjk", "SELECT doc_id AS key, 1.0::DOUBLE AS score FROM documents WHERE doc_id % 7 = 0 AND text IS NOT NULL ORDER BY doc_id DESC LIMIT 20", "documents")(lambda d: P.search(d.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" 東京タワー"))).otherwise(F.col("text"))), "doc_id", "text", "東京", "lexical"))
 query("srh_08_backfill", "SELECT doc_id AS key, 64 AS dimensions FROM documents d WHERE trim(text) <> '' AND NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id) ORDER BY n_chars DESC, doc_id DESC LIMIT 500", "documents", "embeddings")(lambda d, e: P.missing_vectors(d, "doc_id", "text", "n_chars", e, "vec_id").select("key", F.size("vector").alias("dimensions")))
 query("srh_09_lag", "SELECT max(doc_id) AS newest, max(doc_id) FILTER (WHERE n_chars < 2000 AND regexp_matches(text, '[\\p{L}\\p{N}]')) AS indexed, max(doc_id) - max(doc_id) FILTER (WHERE n_chars < 2000 AND regexp_matches(text, '[\\p{L}\\p{N}]')) AS lag FROM documents", "documents")(lambda d: P.lag(d, "doc_id", P.build_postings(d.where("n_chars < 2000"), "doc_id", "text")))
 query("srh_09_postings", f"with w AS (SELECT id, unnest({_OF_MESSAGES}) AS term FROM messages) SELECT term, count(DISTINCT id) AS holders, count(*) AS times FROM w GROUP BY 1", "messages")(lambda m: P.build_postings(m, "id", "content_text").where("term is not null").groupBy("term").agg(F.count("*").alias("holders"), F.sum("times").alias("times")))
