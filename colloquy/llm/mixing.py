@@ -6,11 +6,11 @@ Within a source, `target // source_size` whole repetitions are taken, and the fr
 documents in a seeded pseudo-random order; the document on which the fraction ends gives its first words only. So each
 source's words meet its target to one word, and no document gives more than `max_epochs` times its size.
 
-Order within a source is that of md5(seed, doc_id), then size, then the text's hash. What a source's fraction needs is
-only where in that order it ends (`edges_of`): sums per slice of the hash name one slice, sums in that slice name a part
+Order within a source is that of md5(seed, doc_id, md5(text)), so rows without an id, or with one id and several texts,
+spread over all slices as others do. What a source's fraction needs is only where in that order it ends (`edges_of`): sums per slice of the hash name one slice, sums in that slice name a part
 of it, and there the documents are put in order, equal ones as one group. So no window runs over a source, no document
-is shuffled, and every row finds its share by comparing its place with its source's edge. Rows that are equal in id,
-size and text where a fraction ends are numbered in salted groups. Sources are ranked by a range-partitioned sort, and the water level
+is shuffled, and every row finds its share by comparing its place with its source's edge. Rows that are equal in id
+and text where a fraction ends are numbered in salted groups. Sources are ranked by a range-partitioned sort, and the water level
 needs only sums: no list of sources or documents reaches the driver.
 
 Defined cases: null text has size 0, null source is a source of its own (last in rank), null doc_id sorts as the empty
@@ -62,9 +62,10 @@ def water_level(sources: DataFrame, total: float, max_epochs: float) -> DataFram
 
 
 def keyed_of(docs: DataFrame, seed: str, own: Column | None = None) -> DataFrame:
-    """doc_id, source, size and the place in the source's order (slice, key, size, tie), with own if given."""
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    keyed = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), key.alias("key"), F.xxhash64("text").alias("tie"), *([own.alias("own")] if own is not None else []))
+    """doc_id, source, size and the place in the source's order (slice, key), with own if given."""
+    text_hash = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_hash).cast("binary"))
+    keyed = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), key.alias("key"), *([own.alias("own")] if own is not None else []))
     return keyed.withColumn("slice", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % SLICES).cast("int"))
 
 
@@ -86,16 +87,16 @@ def edges_of(keyed: DataFrame, slices: DataFrame, targets: DataFrame, n_sources:
     slice_of = with_source(running(slices, "words", "before", "slice"), targets.select("its_source", "rest"), n_sources).where(at)
     edge_slices = cut(slice_of.select("its_source", F.col("slice").alias("edge_slice"), "before", "rest"))
     inside = with_source(keyed, edge_slices, n_sources).where("slice = edge_slice").drop("its_source")
-    groups = cut(inside.groupBy("source", "slice", "key", "size", "tie", "before", "rest").agg(F.count("*").alias("n")).withColumn("part", F.substring("key", 1, DIGITS)).withColumn("words", F.col("n") * F.col("size")))
+    groups = cut(inside.groupBy("source", "slice", "key", "size", "before", "rest").agg(F.count("*").alias("n")).withColumn("part", F.substring("key", 1, DIGITS)).withColumn("words", F.col("n") * F.col("size")))
     parts = groups.groupBy("source", "part", "before", "rest").agg(F.sum("words").alias("words")).withColumnRenamed("before", "start")
     edge_parts = running(parts, "words", "earlier", "part").withColumn("before", F.col("start") + F.col("earlier")).where(at).select(F.col("source").alias("its_source"), F.col("part").alias("edge_part"), F.col("before").alias("part_before"))
     close = with_source(groups.drop("before"), edge_parts, n_sources).where("part = edge_part").drop("its_source")
-    last = running(close, "words", "earlier", "key", "size", "tie").withColumn("before", F.col("part_before") + F.col("earlier")).where(at)
+    last = running(close, "words", "earlier", "key").withColumn("before", F.col("part_before") + F.col("earlier")).where(at)
     return last.select(F.col("source").alias("its_source"), place().alias("edge"), "n", (F.col("rest") - F.col("before")).alias("left"))
 
 
 def place() -> Column:
-    return F.struct("slice", "key", "size", "tie")
+    return F.struct("slice", "key")
 
 
 def plan_of(keyed: DataFrame, weights: tuple[float, ...], max_epochs: float) -> tuple[DataFrame, int]:
@@ -164,7 +165,7 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_e
 #: The order within a source spelt for DuckDB, with the same slices: slice number first, then the key.
 ORACLE_SQL = """
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-                  md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+                  md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS k FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight, 3.0::DOUBLE * source_size AS cap FROM s),
 -- the level is that at which the sum of least(cap, level * weight) is the total: sources are capped in order of cap / weight

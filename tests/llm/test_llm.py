@@ -233,6 +233,16 @@ def test_mixing_of_equal_rows(spark):
     assert mixing.mixture(rows).agg(F.sum("n_words")).first()[0] == 9000
 
 
+def test_mixing_of_distinct_texts_without_ids(spark):
+    """Rows without an id, or with one id, spread over all slices by their texts, and the fraction still ends to a word."""
+    rows = spark.range(4000).selectExpr("CASE WHEN id % 2 = 0 THEN 7 END AS doc_id", "concat('a b', id) AS text", "CASE WHEN id % 3 = 0 THEN 'y' ELSE 'x' END AS source")
+    spread = mixing.keyed_of(rows, "mix").groupBy("slice").count().agg(F.count("*"), F.max("count")).first()
+    assert spread[0] == mixing.SLICES and spread[1] < 60
+    got = mixing.mix(rows).groupBy("source_size").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("taken").alias("most")).collect()
+    assert all(abs(r.taken - r.target) <= 1 and r.most <= 6 for r in got) and len(got) == 2
+    assert sorted(map(str, mixing.mix(rows).collect())) == sorted(map(str, mixing.mix(rows.repartition(7)).collect()))
+
+
 def test_samples_keep_their_bound(spark):
     """Null and repeated ids, and one id for all rows, don't lift the bounds of the training samples."""
     rows = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 1 ELSE id END AS doc_id", "concat('word', id, ' text') AS text", "CASE WHEN id < 2990 THEN 'en' ELSE 'de' END AS lang")
