@@ -327,4 +327,4 @@ query("snk_05_upsert", "SELECT id, CASE WHEN id % 3 = 0 THEN 'new' ELSE directio
 query("snk_10_envelopes", "SELECT CAST(id AS VARCHAR) AS session_id, provider, (SELECT count(*) FROM messages m WHERE m.session_id = sessions.id) AS n FROM sessions", "sessions", "messages")(lambda s, m: X.envelopes(s, m).select("session_id", "provider", F.size("messages").cast("long").alias("n")))
 query("snk_11_markdown", None, "sessions", "messages")(X.markdown)
 
-from . import catalog_formats, catalog_more, catalog_search, catalog_streams  # noqa: E402, F401
+from . import catalog_binary, catalog_formats, catalog_more, catalog_search, catalog_streams  # noqa: E402, F401
