@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources import tail
 from ..sources.folders import fresh_folder
-from ..streaming import pairing, store
+from ..streaming import pairing, patches, store
 from .catalog import ORACLE_SQL, QUERIES
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -120,3 +120,47 @@ def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["stm_18_transcripts"] = _transcripts
 ORACLE_SQL["stm_18_transcripts"] = "SELECT concat('s', conv_id) AS session_id, CASE WHEN turn % 2 = 0 THEN concat(conv_id, '-', turn) END AS line_uuid, role AS line_type, text FROM conversations WHERE turn % 5 <> 4"
+
+
+def _patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as streams of patches: a message a turn, its text in pieces of 200 characters; every other stream ends."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    event = lambda data, name="delta": F.struct(F.lit(name).cast("string").alias("event"), data.alias("data"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    begin = F.to_json(F.struct(F.lit("").alias("p"), F.lit("add").alias("o"), F.struct(F.struct(F.struct("role").alias("author"), F.struct(F.array(F.lit("")).alias("parts")).alias("content")).alias("message")).alias("v")))
+    piece = lambda i: F.substring(text, i * 200 + 1, F.lit(200))
+    first = F.to_json(F.struct(F.lit("/message/content/parts/0").alias("p"), F.lit("append").alias("o"), piece(F.lit(0)).alias("v")))
+    later = F.transform(F.filter(F.sequence(F.lit(0), F.floor(F.length(text) / 200).cast("int")), lambda i: i > 0), lambda i: event(F.to_json(F.struct(piece(i).alias("v")))))
+    model = F.to_json(F.struct(F.lit("").alias("p"), F.lit("patch").alias("o"), F.array(F.struct(F.lit("/message/metadata/model_slug").alias("p"), F.lit("add").alias("o"), F.concat(F.lit("m-"), "turn").alias("v"))).alias("v")))
+    told = F.concat(F.array(event(begin), event(first)), later, F.array(event(model), event(F.lit('{"type":"message_stream_complete"}'), None)))
+    streams = rows.select("conv_id", "turn", told.alias("told")).groupBy("conv_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", "told"))), lambda t: t["told"])).alias("all"))
+    ended = F.when(F.col("conv_id") % 2 == 0, F.concat("all", F.array(event(F.lit("[DONE]"), None)))).otherwise(F.col("all"))
+    each = streams.select(F.concat(F.lit("c"), "conv_id").alias("stream"), F.posexplode(ended).alias("seq", "e"))
+    return each.select("stream", F.col("seq").cast("long").alias("seq"), "e.event", "e.data", F.lit("2024-01-01").cast("timestamp").alias("ts"))
+
+
+_MESSAGE = ("stream", "message", "role", "text", "model")
+
+
+def _folding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The patches in three batches, out of order; the first comes once more with the last."""
+    folder = fresh_folder(spark, "patches")
+    told = _patches(spark, sf_dir)
+    for parts in ([1], [2], [0, 1]):
+        told.where((F.col("seq") % 3).isin(parts)).write.mode("append").parquet(f"{folder}/in")
+        available(patches.folding(spark.readStream.schema(patches.EVENT).parquet(f"{folder}/in")), folder)
+    return patches.newest(spark.read.schema(patches.MESSAGE).parquet(f"{folder}/out")).select(*_MESSAGE, "ended")
+
+
+def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The patches as bodies of event streams, which are told apart into events again and folded."""
+    lines = F.concat(F.when(F.col("event").isNotNull(), F.concat(F.lit("event: "), F.col("event"), F.lit("\n"))).otherwise(""), F.lit("data: "), F.col("data"))
+    bodies = _patches(spark, sf_dir).groupBy("stream", "ts").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", lines.alias("line")))), lambda x: x["line"]), "\n\n").alias("response"))
+    return patches.folded(patches.events_of(bodies, "stream")).select(*_MESSAGE)
+
+
+_SAID = """SELECT concat('c', conv_id) AS stream, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS message, role, text, concat('m-', turn) AS model{more} FROM conversations QUALIFY text <> ''"""
+QUERIES["stm_12_folding"] = _folding
+ORACLE_SQL["stm_12_folding"] = _SAID.format(more=", CASE WHEN conv_id % 2 = 0 THEN 'complete' END AS ended")
+QUERIES["nrm_10_folded"] = _folded
+ORACLE_SQL["nrm_10_folded"] = _SAID.format(more="")
