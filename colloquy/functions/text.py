@@ -162,3 +162,37 @@ def message_score(c: Column, model: Column, tokens: Column, attachments: Column)
     score = F.least(n / 500, F.lit(0.25)) + add(F.coalesce(model, F.lit("")) != "", 0.15) + add(F.coalesce(tokens, F.lit(0)) > 0, 0.15) + add(attachments, 0.10)
     score = score + add(F.contains(_text(c), F.lit("[Tool call:")), 0.05) + add(F.contains(_text(c), F.lit("<thinking>")), 0.05) + add(clean & (n > 10), 0.15)
     return F.least(F.when(n < 5, score * 0.5).otherwise(score), F.lit(1.0))
+
+
+def drafts_redacted(c: Column) -> Column:
+    """JSON with the string of every member named text replaced, at any depth; all else stays as it was written.
+
+    Within a string of JSON each quote has a backslash before it, so `"text":` is a member's name wherever it stands.
+    """
+    return F.regexp_replace(c, r'(?s)("text"\s*+:\s*+)".*?(?<!\\)(?:\\\\)*+"', '$1"[redacted]"')
+
+
+def units_head(c: Column, n: int) -> Column:
+    """The first n UTF-16 units of a text; half a character at the end is left out."""
+    raw = F.substring(F.encode(c, "UTF-16BE"), 1, 2 * n)
+    half = F.hex(raw).rlike("D[89AB]..$") & (F.length(raw) == 2 * n)
+    return F.decode(F.when(half, F.substring(raw, 1, 2 * n - 2)).otherwise(raw), "UTF-16BE")
+
+
+def page_fingerprint(messages: Column) -> Column:
+    """One string of a conversation as a page shows it: role, the text's first 160 units and what names each attachment.
+
+    messages is array<struct<role, content, attachments: array<struct<type, file_id, url, name, title, language, code, output>>>>;
+    what is null or empty is passed over, a null list has the empty string.
+    """
+    some = lambda x: F.nullif(x, F.lit(""))
+
+    def named(a: Column) -> Column:
+        detail = F.coalesce(*[some(a[f]) for f in ("file_id", "url", "name", "title", "language")], *[some(units_head(a[f], 80)) for f in ("code", "output")], F.lit(""))
+        return F.concat_ws(":", F.coalesce(some(a["type"]), F.lit("unknown")), detail)
+
+    def said(m: Column) -> Column:
+        attachments = F.array_join(F.transform(F.filter(m["attachments"], lambda a: a.isNotNull()), named), ",")
+        return F.concat_ws(":", F.coalesce(some(m["role"]), F.lit("unknown")), F.coalesce(units_head(m["content"], 160), F.lit("")), F.coalesce(attachments, F.lit("")))
+
+    return F.coalesce(F.array_join(F.transform(messages, said), "|"), F.lit(""))

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import convert as V
+from ..functions import text as T
 from ..operators import persist as E
 from ..operators import postings as P
 from ..operators import reports as O
 from ..operators import search as R
+from ..operators.versions import Step, Store
+from ..sources.folders import fresh_folder
 from .catalog import _BM25, _FOLD, _KNN, NOW, ORACLE_SQL, _query_vector, query
 
 # --- search over an index ---
@@ -134,3 +137,43 @@ query("stm_16_connections", "SELECT session_hint AS pair_id, count(*) AS frames,
 query("stm_13_gap_sessions", "with l AS (SELECT session_hint, created_at, CASE WHEN created_at - lag(created_at) OVER w <= 86400 THEN 0 ELSE 1 END AS b FROM captures WINDOW w AS (PARTITION BY session_hint ORDER BY created_at)), n AS (SELECT *, sum(b) OVER (PARTITION BY session_hint ORDER BY created_at) AS nth FROM l) SELECT session_hint, min(created_at) AS start, max(created_at) AS \"end\", count(*) AS events FROM n GROUP BY session_hint, nth", "captures")(lambda c: O.gap_sessions(c, "session_hint", "created_at", 86400.0))
 query("scl_09_result_scores", """with r AS (SELECT session_id, avg(CASE WHEN role = 'user' THEN 0.4 ELSE 0.8 END) AS mean, count(*) AS n, bool_or(role = 'user') AND bool_or(role = 'assistant') AS both_roles FROM messages GROUP BY 1)
 SELECT s.id AS result_id, round(least(1.0, (coalesce(mean, 0) * 0.5 + CASE WHEN both_roles THEN 0.15 ELSE 0 END + CASE WHEN coalesce(session_key, '') <> '' THEN 0.1 ELSE 0 END + CASE WHEN s.id % 2 = 0 THEN 0.1 ELSE 0 END + CASE WHEN n >= 4 THEN 0.1 WHEN n >= 2 THEN 0.05 ELSE 0 END) * 0.7 + 0.9 * 0.3), 6)::DOUBLE AS score FROM sessions s LEFT JOIN r ON s.id = r.session_id""", "sessions", "messages")(lambda s, m: O.result_scores(s.select(F.col("id").alias("result_id"), "session_key", F.when(F.col("id") % 2 == 0, "m").alias("model_name"), F.lit(0.9).alias("confidence")), m.select(F.col("session_id").alias("result_id"), "role", F.when(F.col("role") == "user", 0.4).otherwise(0.8).alias("score"))))
+
+
+def _drafts(m: DataFrame) -> DataFrame:
+    draft = F.to_json(F.struct(F.struct(F.lit("doc").alias("type"), F.array(F.struct(F.lit("p").alias("type"), F.col("content_text").alias("text"), F.col("role").alias("note"))).alias("content")).alias("state"), F.lit("text").alias("kind"), F.concat(F.lit('"text":"'), F.col("content_text")).alias("text")))
+    return m.where("content_text is not null").select("id", T.drafts_redacted(draft).alias("draft"))
+
+
+query("scl_36_drafts", """SELECT id, concat('{"state":{"type":"doc","content":[{"type":"p","text":"[redacted]","note":"', role, '"}]},"kind":"text","text":"[redacted]"}') AS draft FROM messages WHERE content_text IS NOT NULL""", "messages")(_drafts)
+
+
+def _page(m: DataFrame) -> DataFrame:
+    """Conversations with a file in every third turn, and code without a kind in every fourth."""
+    fields = ("type", "file_id", "url", "name", "title", "language", "code", "output")
+    of = lambda **cells: F.array(F.struct(*[cells.get(f, F.lit(None).cast("string")).alias(f) for f in fields]))
+    attached = F.when(F.col("turn_index") % 3 == 0, of(type=F.lit("file"), url=F.lit(""), name=F.concat(F.lit("f"), "turn_index"))).when(F.col("turn_index") % 4 == 1, of(code=F.col("content_text")))
+    return m.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn_index", "role", F.col("content_text").alias("content"), attached.alias("attachments")))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"), x["attachments"].alias("attachments"))).alias("messages"))
+
+
+query("scl_39_fingerprints", """SELECT session_id, string_agg(concat(role, ':', left(content_text, 160), ':', CASE WHEN turn_index % 3 = 0 THEN concat('file:f', turn_index) WHEN turn_index % 4 = 1 THEN concat('unknown:', left(content_text, 80)) ELSE '' END), '|' ORDER BY turn_index) AS fingerprint FROM messages GROUP BY 1""", "messages")(lambda m: _page(m).select("session_id", T.page_fingerprint(F.col("messages")).alias("fingerprint")))
+
+
+def _versions(s: DataFrame, m: DataFrame) -> DataFrame:
+    """Two steps that are applied, and one that fails on some row: the tables are those of the second."""
+    store = Store(s.sparkSession, fresh_folder(s.sparkSession, "versions"))
+    store.create({"sessions": s.select("id", "provider"), "messages": m.select("session_id", "role", "token_estimate")})
+    counted = lambda t: t["messages"].groupBy("session_id").agg(F.count("*").alias("n"), F.sum("token_estimate").alias("tokens"))
+    steps = [
+        Step(1, "add a family", lambda t: {"sessions": t["sessions"].withColumn("family", F.concat(F.lit("api-"), "provider"))}),
+        Step(2, "count messages", lambda t: {"sessions": t["sessions"].join(counted(t), t["sessions"]["id"] == F.col("session_id"), "left").drop("session_id"), "messages": None}),
+    ]
+    fails = Step(3, "fail", lambda t: {"sessions": t["sessions"].withColumn("n", F.when(F.col("n") >= 1, F.raise_error(F.lit("step 3 fails"))).otherwise(F.col("n")))})
+    try:
+        store.apply([*steps, fails])
+    except Exception as e:
+        if "step 3 fails" not in str(e):
+            raise
+    return store.tables()["sessions"].withColumn("version", F.lit(store.version()))
+
+
+query("scl_47_versions", "SELECT s.id, provider, concat('api-', provider) AS family, n, tokens, 2 AS version FROM sessions s LEFT JOIN (SELECT session_id, count(*) AS n, CAST(sum(token_estimate) AS BIGINT) AS tokens FROM messages GROUP BY 1) m ON s.id = m.session_id", "sessions", "messages")(_versions)
