@@ -18,8 +18,10 @@ BODY_BYTES = 2 * 1024 * 1024
 
 
 def iso_to_ms(text: Column) -> Column:
-    """Milliseconds of an ISO-8601 time; without a zone it is UTC, a date is its midnight; null for anything else."""
-    t = F.trim(text)
+    """Milliseconds of an ISO-8601 time, with or without its separators; without a zone it is UTC, a date is its midnight; null for anything else."""
+    t = F.regexp_replace(F.trim(text), r"^(\d{4})(\d\d)(\d\d)(?=$|[T ])", "$1-$2-$3")
+    for digits, spelt in ((r"(\d\d)(\d\d)(\d\d)", "$1T$2:$3:$4"), (r"(\d\d):?(\d\d)", "$1T$2:$3:00"), (r"(\d\d)", "$1T$2:00:00")):
+        t = F.regexp_replace(t, rf"^(\d{{4}}-\d\d-\d\d)[T ]{digits}(?=$|[Z.,+-])", spelt)
     t = F.when(t.rlike(r"^\d{4}-\d\d-\d\d$"), F.concat(t, F.lit("T00:00:00Z"))).when(t.rlike(r"(Z|[+-]\d\d:?\d\d)$"), t).otherwise(F.concat(t, F.lit("Z")))
     return F.when(t.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d"), F.unix_millis(F.try_to_timestamp(t)))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import attributes, dispatch
+from ..operators import attributes, dispatch, recovery
 from ..sources.folders import fresh_folder
 from .catalog import ORACLE_SQL, QUERIES
 from .standins import cte, frame
@@ -98,3 +98,22 @@ def _rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["nrm_16_rebuilt"] = _rebuilt
 ORACLE_SQL["nrm_16_rebuilt"] = cte("messages") + """ SELECT concat('p', session_id) AS pair_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY role = 'assistant', turn_index) - 1 AS INTEGER) AS turn_index, min(ts) OVER (PARTITION BY session_id) AS ts, role, content_text,
 CASE WHEN turn_index % 5 = 4 THEN concat('image_url=https://x/', id, ',text=t.1,file={}') WHEN turn_index % 3 = 0 THEN concat('image_url=https://x/', id) ELSE '' END AS parts FROM messages"""
+
+
+def _cancelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chats in two dialects: of half the twenties the response came, every third conversation has its messages; each request is there twice."""
+    folder = fresh_folder(spark, "requests")
+    pairs = bodies(spark.read.parquet(f"{sf_dir}/conversations.parquet")).withColumn("n", F.substring("pair_id", 2, 20).cast("long")).where("n % 10 in (4, 5)")
+    rows = pairs.select("n", "pair_id", "provider", "host", "path", "model_name", "request", "response")
+    sent = lambda at, body: F.struct(F.lit(at).alias("created_at"), F.lit("request").alias("direction"), body.alias("body"))
+    answer = F.struct(F.lit(5.0).alias("created_at"), F.lit("response").alias("direction"), F.col("response").alias("body"))
+    each = rows.withColumn("e", F.explode(F.array_compact(F.array(sent(1.0, F.col("request")), sent(2.0, F.lit("{}")), F.when(F.col("n") % 20 < 10, answer)))))
+    each.select(F.monotonically_increasing_id().alias("id"), F.lit("proxy").alias("source_id"), "pair_id", "provider", "host", "path", "model_name", "e.*").write.parquet(folder)
+    known = rows.where("n % 3 = 0").select(F.col("pair_id").alias("capture_pair_id"))
+    found = recovery.recovered_prompts(spark.read.parquet(folder), known, now=100.0)
+    return found.select("pair_id", "parser", "turn_index", "role", "content_text", "interaction_kind")
+
+
+QUERIES["nrm_14_recovered"] = _cancelled
+ORACLE_SQL["nrm_14_recovered"] = """SELECT concat('p', conv_id) AS pair_id, CASE conv_id % 10 WHEN 4 THEN 'chat_completions' ELSE 'content_blocks' END AS parser, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS turn_index, role, text AS content_text, 'cancelled' AS interaction_kind
+FROM conversations WHERE conv_id % 20 IN (14, 15) AND conv_id % 3 <> 0 AND role <> 'assistant'"""

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_EXPORT_ROWS = 1_000_000
 _MESSAGE = "struct<id:string,role:string,content_text:string,ts:double,model_name:string,token_estimate:int>"
 ENVELOPE = f"session_id string, provider string, started_at double, messages array<{_MESSAGE}>"
 
@@ -54,9 +53,9 @@ def markdown(sessions: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def export_parquet(table: DataFrame, path: str, ts: str | None = None, cutoff: float | None = None) -> int:
-    """Writes a table (its rows from cutoff on) with zstd, up to the export's limit, and gives the rows read back."""
+    """Writes a table (its rows from cutoff on) whole with zstd, and gives the rows read back."""
     rows = table if cutoff is None else table.where(F.col(ts) >= cutoff)
-    rows.limit(MAX_EXPORT_ROWS).write.option("compression", "zstd").parquet(path)
+    rows.write.option("compression", "zstd").parquet(path)
     return table.sparkSession.read.parquet(path).count()
 
 

@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from colloquy.operators import dispatch
+from colloquy.operators import dispatch, recovery
 
 J = json.dumps
 COLUMNS = "pair_id string, direction string, provider string, host string, path string, request string, response string, model_name string, created_at double"
@@ -80,3 +80,19 @@ def test_order_of_parsers(spark):
     both = {r.pair_id: r.parser for r in dispatch.dispatched(rows, [page, chat]).collect()}
     assert both == {"chat": "chat_completions", "page": "page_conversation"}
     assert dispatch.dispatched(rows.limit(0)).count() == 0
+
+
+def test_recovered_prompts(spark):
+    """Only aged requests without response and message, the first of a pair, without what the assistant said."""
+    chat = J({"model": "g", "messages": [{"role": "system", "content": "s"}, {"role": "assistant", "content": "before"}, {"role": "user", "content": "ask"}]})
+    row = lambda i, pair, direction="request", at=1.0, body=chat, source="x": (i, at, source, direction, pair, "openai", "api.openai.com", "/v1/chat/completions", None, body)
+    rows = [
+        row(1, "lost"), row(2, "lost", at=3.0, body=CHAT), row(3, "new", at=90.0), row(4, "answered"), row(5, "answered", "response", body=REPLY), row(6, "known"), row(7, "broken", body="{"), row(8, "nobody", source=""),
+        row(9, None), row(10, ""), row(11, "bodiless", body=None), row(12, "said", body=J({"model": "g", "messages": [{"role": "assistant", "content": "only"}]})), row(13, "alone", "response"), row(14, "timeless", at=None),
+    ]
+    captures = spark.createDataFrame(rows, "id int, created_at double, source_id string, direction string, pair_id string, provider string, host string, path string, model_name string, body string")
+    known = spark.createDataFrame([("known",), (None,)], "capture_pair_id string")
+    got = recovery.recovered_prompts(captures, known, now=100.0)
+    assert sorted((r.pair_id, r.turn_index, r.role, r.content_text, r.interaction_kind, r.created_at) for r in got.collect()) == [("lost", 0, "system", "s", "cancelled", 1.0), ("lost", 1, "user", "ask", "cancelled", 1.0)]
+    again = known.unionByName(got.select(got["pair_id"].alias("capture_pair_id")))
+    assert recovery.recovered_prompts(captures, again, now=100.0).count() == 0 and recovery.recovered_prompts(captures.limit(0), known, now=100.0).count() == 0

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from colloquy.functions import convert as V
 from colloquy.functions import text as T
 
 JSON = st.recursive(st.one_of(st.none(), st.integers(), st.text(max_size=20), st.sampled_from(['"text":"x"', 'a\\', '\\"', '"text": ', "text"])), lambda x: st.one_of(st.lists(x, max_size=3), st.dictionaries(st.sampled_from(["text", "a", '"text"', "texts", "x\\"]), x, max_size=3)), max_leaves=12)
@@ -44,3 +45,14 @@ def test_page_fingerprint(spark):
     ]
     got = dict(spark.createDataFrame(rows, f"i int, m array<struct<role:string,content:string,attachments:array<{attachment}>>>").select("i", T.page_fingerprint(F.col("m"))).collect())
     assert got == {1: f"user:{'a' * 160}:|unknown::image:u,unknown:|unknown:x:unknown:{'c' * 80}", 2: "", 3: "", 4: f"user:{'b' * 159}:|user:{'😀' * 80}:", 5: "unknown::"}
+
+
+def test_iso_times(spark):
+    """Extended and compact forms, zones, dates alone, and what is no time."""
+    midnight = 1704067200000
+    wanted = {
+        "20240101T000000Z": midnight, "20240101": midnight, "2024-01-01": midnight, "20240101T0000": midnight, "2024-01-01T00": midnight, "20240101 010203.250Z": midnight + 3723250, "20240101T010000+0100": midnight, "2024-01-01T00:00:00.5": midnight + 500,
+        "20240101T010000-01:00": midnight + 7200000, " 2024-01-01 00:00 ": midnight, "2024": None, "20241301": None, "20240101T250000": None, "1704067200": None, "": None, "x": None,
+    }
+    got = dict(spark.createDataFrame(list(wanted.items()), "t string, ms long").select("t", V.iso_to_ms(F.col("t"))).collect())
+    assert got == wanted and spark.range(1).select(V.iso_to_ms(F.lit(None).cast("string"))).first()[0] is None
