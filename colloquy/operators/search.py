@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 
 K1, B = 1.2, 0.75
+TOKEN = r"[\p{L}\p{N}]+"
 #: Constant of reciprocal rank fusion.
 RRF = 60
 # Letters with marks and what they are searched as.
@@ -18,7 +19,7 @@ def folded(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    return F.regexp_extract_all(folded(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(folded(c), F.lit(TOKEN), F.lit(0))
 
 
 def _times(words: str, term: str) -> Column:

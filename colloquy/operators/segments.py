@@ -2,8 +2,8 @@
 
 A segment holds the postings (term, key, length, positions) of the rows that were added at once, as Parquet under
 `postings/segment=.../bucket=...`, sorted by term. A term's bucket is its crc32, so a search knows which folders to read
-before it asks Spark, and the sort lets Parquet skip other terms inside them. Every bucket is dealt over shards of the
-key, so that a frequent term's postings are written by many tasks. `figures/segment=...` has one row a segment: rows,
+before it asks Spark, and the sort lets Parquet skip other terms inside them. A row's postings are gathered and written
+by the task that reads the row: nothing is shuffled, and a frequent term's postings lie in the files of many tasks. `figures/segment=...` has one row a segment: rows,
 words and the largest key. A segment that is added again replaces its old self.
 
 A query is a list of phrases: each part between blanks is one, of one or more words (`e-mail` is a phrase of two). A row
@@ -14,20 +14,26 @@ The snippet of a match is the stretch of at most `words` words with most of the
 occurrences, then the first one; what lies around its occurrences is shared out to both sides, and phrases are marked.
 
 Defined cases: null and empty texts are rows without words; a null key is indexed like any other; rows with one key are
-one row if they are in one segment, and are not told apart; a query without words finds nothing.
+one row if they are in one segment, and are not told apart (a search puts their postings together); a query without words finds nothing.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-from .search import B, K1, MARKED, PLAIN, folded, tokens
+from .search import B, K1, MARKED, PLAIN, TOKEN, folded, tokens
 
 BUCKETS = 64
+#: Words whose postings a task gathers at once; one longer row is gathered whole.
+PIECE_WORDS = 1 << 20
 #: What keeps the inverse frequency of a common phrase above zero.
 LEAST_IDF = 1e-6
 SNIPPET_WORDS = 32
@@ -47,18 +53,51 @@ def phrases_of(query: str) -> list[list[str]]:
     return [list(p) for p in dict.fromkeys(tuple(p) for p in found if p)]
 
 
+def pieces(ends: np.ndarray, words: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of up to so many words together; a longer row is a range of its own. ends: where each row's words end."""
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + words, "right")))
+        yield a, b
+        a = b
+
+
+def gathered(batch: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
+    """Postings of rows (key, words)."""
+    n = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
+    words = batch.column(1).flatten().dictionary_encode()
+    codes, row = words.indices.to_numpy(), np.repeat(np.arange(len(n), dtype=np.int32), n)
+    places = np.arange(len(codes), dtype=np.int32) - np.repeat(np.cumsum(n, dtype=np.int32) - n, n)
+    # Rows and places ascend already: a stable order by term keeps both.
+    order = np.argsort(codes, kind="stable")
+    codes, row, places = codes[order], row[order], places[order]
+    first = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])) if len(codes) else [])
+    of_term = np.array([bucket_of(t, buckets) for t in words.dictionary.to_pylist()], np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(codes)), pa.int32()), pa.array(places))
+    codes, row = codes[first], row[first]
+    return pa.RecordBatch.from_arrays([pa.array(of_term[codes]), words.dictionary.take(pa.array(codes)), batch.column(0).take(pa.array(row)), pa.array(n[row]), lists], ["bucket", "term", "key", "length", "positions"])
+
+
+def postings_of(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """bucket, term, key, length and positions of rows (key, words): one row per term of a row, gathered where the row is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+            for a, b in pieces(ends, PIECE_WORDS):
+                yield gathered(batch.slice(a, b - a), buckets)
+
+    schema = StructType().add("bucket", IntegerType()).add("term", StringType()).add("key", rows.schema["key"].dataType).add("length", IntegerType()).add("positions", ArrayType(IntegerType()))
+    return rows.select("key", "words").mapInArrow(run, schema)
+
+
 def add_segment(docs: DataFrame, key: str, text: str, folder: str, name: str, buckets: int = BUCKETS, shards: int | None = None) -> None:
-    """Writes the rows of docs as segment `name`, in place of an older one of that name."""
-    spark = docs.sparkSession
-    if shards is None:
-        shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // buckets)
-    words = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("words"))
-    each = words.select("key", F.size("words").alias("length"), F.posexplode("words").alias("at", "term"))
-    placed = each.withColumns({"bucket": (F.crc32(F.col("term").cast("binary")) % buckets).cast("int"), "shard": F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")})
-    # Rows of one term and key meet where their bucket and shard do: one shuffle serves the aggregation and the files.
-    dealt = placed.repartition("bucket", "shard").groupBy("bucket", "shard", "term", "key").agg(F.first("length").alias("length"), F.sort_array(F.collect_list("at")).alias("positions"))
-    dealt.select("bucket", "term", "key", "length", "positions").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings/segment={name}")
-    figures = words.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("words"), F.max("key").alias("newest"))
+    """Writes the rows of docs as segment `name`, in place of an older one of that name. shards: how many tasks write it, by default as many as read docs."""
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    dealt = rows if shards is None else rows.repartition(shards)
+    placed = postings_of(dealt.select("key", tokens(F.col("text")).alias("words")), buckets)
+    placed.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings/segment={name}")
+    figures = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.regexp_count(folded(F.col("text")), F.lit(TOKEN))), F.lit(0)).alias("words"), F.max("key").alias("newest"))
     figures.write.mode("overwrite").parquet(f"{folder}/figures/segment={name}")
 
 
@@ -71,7 +110,9 @@ class Index:
     def postings(self, terms: list[str]) -> DataFrame:
         """term, key, length, positions of these terms, from their buckets only."""
         kept = sorted({bucket_of(t, self.buckets) for t in terms})
-        return self.spark.read.parquet(f"{self.folder}/postings").where(F.col("bucket").isin(kept) & F.col("term").isin(sorted(set(terms)))).select("term", "key", "length", "positions")
+        own = self.spark.read.parquet(f"{self.folder}/postings").where(F.col("bucket").isin(kept) & F.col("term").isin(sorted(set(terms))))
+        together = own.groupBy("segment", "term", "key").agg(F.first("length").alias("length"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+        return together.select("term", "key", "length", "positions")
 
     def figures(self) -> DataFrame:
         """One row: rows, words and newest of all segments."""
