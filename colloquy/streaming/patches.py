@@ -4,7 +4,7 @@ An event stream of patches tells a tree piece by piece: `delta` events with a pa
 where what is left out is that of the event before. An addition at the root begins a new message, and an event of type
 `message_stream_complete` ends one; `[DONE]` ends the stream.
 
-A message is kept as its leaves, by path: so state holds small rows, and a batch writes those that it touched. Events
+A message is kept as its leaves, by path, and a batch writes the messages that it touched, one value each. Events
 are applied in the order of seq (0, 1, ...), however they arrive: one that comes early waits in state, and one that was
 applied before is dropped. So any split of a stream over batches, in any order and with replays, gives the same
 messages as all of it at once (`folded`, which shares the rules). A stream to which nothing came for `ttl` seconds of
@@ -23,7 +23,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -194,80 +194,76 @@ def folded(events: DataFrame) -> DataFrame:
 
 
 class Folding(StatefulProcessor):
+    """A batch reads a stream's state at once and writes one value for each message that it touched, and one list of what waits."""
+
     def __init__(self, ttl: float):
         self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.place = handle.getValueState("place", "message int, path string, op string, applied long, ended string, next long, last double")
-        self.leaves = handle.getMapState("leaves", "message int, path string", "value string")
-        self.waiting = handle.getMapState("waiting", "seq long", "event string, data string")
+        self.leaves = handle.getMapState("leaves", "message int", "leaves string")
+        self.waiting = handle.getListState("waiting", "seq long, event string, data string")
 
-    def read(self) -> tuple[Fold, int, float]:
-        messages: dict[int, Leaves] = {}
-        for (n, path), (value,) in self.leaves.iterator():
-            messages.setdefault(int(n), Leaves())[tuple(json.loads(path))] = json.loads(value)
+    def read(self) -> tuple[Fold, int, float] | None:
         if not self.place.exists():
-            return Fold(messages), 0, 0.0
+            return None
         message, path, op, applied, ended, after, last = self.place.get()
+        messages = {} if ended else {int(n): Leaves((tuple(path), v) for path, v in json.loads(told)) for (n,), (told,) in self.leaves.iterator()}
         return Fold(messages, int(message), path, op, int(applied), ended), int(after), float(last)
 
-    def write(self, fold: Fold, before: dict[int, Leaves], after: int, last: float) -> None:
-        for n in set(before) | set(fold.messages):
-            old, new = before.get(n, {}), {} if fold.ended else fold.messages.get(n, {})
-            for path in old.keys() - new.keys():
-                self.leaves.removeKey((n, json.dumps(path)))
-            for path, value in new.items():
-                if path not in old or old[path] is not value:
-                    self.leaves.updateValue((n, json.dumps(path)), (json.dumps(value),))
+    def write(self, fold: Fold, stored: set[int], after: int, last: float) -> None:
+        if fold.ended:
+            if stored:
+                self.leaves.clear()
+        else:
+            for n in fold.touched:
+                self.leaves.updateValue((n,), (json.dumps(list(fold.messages[n].items())),))
         self.place.update((fold.message, fold.path, fold.op, fold.applied, fold.ended, after, last))
         self.handle.registerTimer(int((last + self.ttl) * 1000) + 1)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        fold, after, last = self.read()
-        before = {n: Leaves(tree) for n, tree in fold.messages.items()}
-        text = lambda v: v if isinstance(v, str) else None
-        came: dict[int, tuple] = {}
-        for batch in rows:
-            for at, event, data, ts in zip(batch["seq"], batch["event"], batch["data"], batch["ts"], strict=True):
-                last = max(last, pd.Timestamp(ts).timestamp())
-                if at >= after and not fold.ended:
-                    came.setdefault(int(at), (text(event), text(data)))
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        before = self.read()
+        fold, after, last = before or (Fold({}), 0, 0.0)
+        stored = set(fold.messages)
+        waited = {int(at): (event, data) for at, event, data in self.waiting.get()} if before and not fold.ended else {}
+        came = dict(waited)
+        for r in rows:
+            last = max(last, r["seconds"])
+            if r["seq"] >= after and not fold.ended:
+                came.setdefault(r["seq"], (r["event"], r["data"]))
         open_before = not fold.ended
-        while not fold.ended and (after in came or self.waiting.containsKey((after,))):
-            waits = self.waiting.containsKey((after,))
-            event, data = self.waiting.getValue((after,)) if waits else came[after]
-            fold.apply(event, data)
-            if waits:
-                self.waiting.removeKey((after,))
-            came.pop(after, None)
+        while not fold.ended and after in came:
+            fold.apply(*came.pop(after))
             after += 1
         if fold.ended:
-            self.waiting.clear()
-        else:
-            for at, said in came.items():
-                if not self.waiting.containsKey((at,)):
-                    self.waiting.updateValue((at,), said)
-        out = fold.rows(key[0], set(fold.messages) if fold.ended and open_before else fold.touched)
-        yield pd.DataFrame(list(out), columns=_NAMES).astype(object)
-        self.write(fold, before, after, last)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        fold, _, last = self.read()
-        if not self.place.exists() or (last + self.ttl) * 1000 >= expiredTimerInfo.getExpiryTimeInMs():
+            came = {}
+        if came.keys() != waited.keys():
+            if came:
+                self.waiting.put([(at, *said) for at, said in came.items()])
+            else:
+                self.waiting.clear()
+        yield from (Row(**r) for r in fold.rows(key[0], set(fold.messages) if fold.ended and open_before else fold.touched))
+        self.write(fold, stored, after, last)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
+        before = self.read()
+        if before is None or (before[2] + self.ttl) * 1000 >= expiredTimerInfo.getExpiryTimeInMs():
             return
+        fold = before[0]
         if not fold.ended:
-            for _, (event, data) in sorted(((int(k[0]), v) for k, v in self.waiting.iterator()), key=lambda x: x[0]):
+            for _, event, data in sorted(self.waiting.get(), key=lambda x: int(x[0])):
                 fold.apply(event, data)
             fold.ended = fold.ended or "expired"
-            yield pd.DataFrame(list(fold.rows(key[0], set(fold.messages))), columns=_NAMES).astype(object)
+            yield from (Row(**r) for r in fold.rows(key[0], set(fold.messages)))
         for state in (self.place, self.leaves, self.waiting):
             state.clear()
 
 
 def folding(events: DataFrame, ttl: float = TTL, lateness: str = "10 seconds") -> DataFrame:
     """MESSAGE rows of a stream of events: of each batch the messages that it changed, and at the end of a stream all its messages with ended."""
-    return sent(events).withWatermark("ts", lateness).groupBy("stream").transformWithStateInPandas(Folding(ttl), MESSAGE, "append", "eventTime")
+    timed = sent(events).withColumn("seconds", F.unix_micros("ts") / 1e6)
+    return timed.withWatermark("ts", lateness).groupBy("stream").transformWithState(Folding(ttl), MESSAGE, "append", "eventTime")
 
 
 def newest(messages: DataFrame) -> DataFrame:
