@@ -10,7 +10,8 @@ children of each message of the provider. Per result
 * a completion whose parent already has another answer of that role goes to a branch of its own, below its sibling;
 * weak session fields are replaced by better ones.
 
-State is kept per message, not per session, so a long session costs memory for the results of one batch only. Each
+State is kept per message, not per session, so a long session costs memory for the results of one batch only, and for up
+to READ_AT_ONCE times as many messages where all of a session are read at once. Each
 change is emitted as the whole new row with a version that counts the session's changes; `merge_into` writes a batch's
 changes under its number, so that a batch that is run again replaces its own files, and `stored` reads the latest
 version of each row. Results of one batch are taken in the order of created_at, then pair_id; a batch of replays changes
@@ -27,8 +28,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -46,7 +46,11 @@ MESSAGE = "role string, text string, content_json string, model_name string, tok
 RESULT = f"session_key string, pair_id string, source_id string, created_via string, created_at double, provider string, tool_family string, title_hint string, messages array<struct<{MESSAGE.replace(' ', ':').replace(',:', ',')}>>"
 SESSION = "session_key string, source_id string, created_via string, provider string, tool_family string, title_hint string, started_at double, ended_at double, message_count long"
 STORED = "id string, role string, text string, content_json string, model_name string, token_estimate long, ts double, branch_id string, branch_parent_id string, turn_index long, pair_id string"
+_SESSION, _STORED = ([f.split()[0] for f in x.split(", ")] for x in (SESSION, STORED))
 CHANGE = f"kind string, session_id string, version long, {SESSION}, {STORED}"
+_CHANGE = [f.split()[0] for f in CHANGE.split(", ")]
+#: A session with up to so many times the messages of a batch is read at once.
+READ_AT_ONCE = 4
 
 
 def short(*parts: object) -> str:
@@ -153,6 +157,40 @@ def upgraded(session: dict, result: dict) -> dict:
     return out
 
 
+class Batch:
+    """A session's messages and turns as one batch sees and changes them; state is written once, at its end."""
+
+    def __init__(self, messages: object, turns: object):
+        self.messages, self.turns, self.all_known = messages, turns, False
+        self.rows: dict[tuple, dict | None] = {}
+        self.next: dict[str, int] = {}
+        self.put_rows: set[tuple] = set()
+        self.put_turns: set[str] = set()
+
+    def row(self, *at: object) -> dict | None:
+        if at not in self.rows:
+            if self.all_known:
+                return None
+            self.rows[at] = dict(zip(_STORED, self.messages.getValue(at))) if self.messages.containsKey(at) else None
+        return self.rows[at]
+
+    def put(self, key: str, nth: int, row: dict) -> None:
+        self.rows[key, nth] = row
+        self.put_rows.add((key, nth))
+
+    def next_turn(self, branch: str) -> int:
+        turn = self.next.get(branch, 0)
+        self.next[branch] = turn + 1
+        self.put_turns.add(branch)
+        return turn
+
+    def write(self) -> None:
+        for at in self.put_rows:
+            self.messages.updateValue(at, tuple(self.rows[at][n] for n in _STORED))
+        for branch in self.put_turns:
+            self.turns.updateValue((branch,), (self.next[branch],))
+
+
 class SessionFold(StatefulProcessor):
     """Folds a session's results into its state and emits the changed rows."""
 
@@ -162,18 +200,18 @@ class SessionFold(StatefulProcessor):
         self.turns = handle.getMapState("turns", "branch string", "next long")
         self.children = handle.getMapState("children", "parent string, role string", "ids array<string>, hashes array<string>, times array<double>")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        results = [r for part in rows for r in part.to_dict("records")]
-        results = [{k: plain(v) for k, v in r.items() if k != "messages"} | {"messages": [{k: plain(v) for k, v in as_dict(m).items()} for m in listed(r["messages"])]} for r in results]
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        results = [{n: v for n, v in r.asDict().items() if n != "messages"} | {"messages": [as_dict(m) for m in listed(r["messages"])]} for r in rows]
         changed: dict[tuple, dict] = {}
         session_id = short(key[0])
-        old = dict(zip([f.split()[0] for f in SESSION.split(", ")] + ["version"], self.session.get())) if self.session.exists() else None
+        old = dict(zip(_SESSION + ["version"], self.session.get())) if self.session.exists() else None
+        batch = self.batch_of(old, results)
         for result in sorted(results, key=lambda r: (r["created_at"] or 0.0, r["pair_id"] or "")):
             before = old
             if old is None:
                 old = {k: result.get(k) for k in ("session_key", "source_id", "created_via", "provider", "tool_family", "title_hint")} | {"started_at": result["created_at"], "ended_at": result["created_at"], "message_count": 0, "version": 0}
                 old["title_hint"] = old["title_hint"][:TITLE_CHARACTERS] if old["title_hint"] else old["title_hint"]
-            new = self.take(session_id, old, result, changed)
+            new = self.take(session_id, old, result, changed, batch)
             if before is not None:
                 new = upgraded(new, result)
             if before is None or new != before:
@@ -182,10 +220,22 @@ class SessionFold(StatefulProcessor):
             old = new
         if old is not None:
             self.session.update(tuple(old.values()))
-        names = [f.split()[0] for f in CHANGE.split(", ")]
-        yield pd.DataFrame([{n: c.get(n) for n in names} for c in changed.values()], columns=names)
-
-    def take(self, session_id: str, session: dict, result: dict, changed: dict) -> dict:
+        batch.write()
+        yield from (Row(**{n: c.get(n) for n in _CHANGE}) for c in changed.values())
+
+    def batch_of(self, session: dict | None, results: list[dict]) -> Batch:
+        """What a batch knows of its session: all messages at once, if they are not many more than the batch's, else each when it is asked for."""
+        batch = Batch(self.messages, self.turns)
+        if session is None:
+            batch.all_known = True
+        elif session["message_count"] <= READ_AT_ONCE * sum(len(r["messages"]) for r in results):
+            batch.rows = {(k, int(nth)): dict(zip(_STORED, v)) for (k, nth), v in self.messages.iterator()}
+            batch.all_known = True
+        if session is not None:
+            batch.next = {branch: int(n) for (branch,), (n,) in self.turns.iterator()}
+        return batch
+
+    def take(self, session_id: str, session: dict, result: dict, changed: dict, batch: Batch) -> dict:
         fork = self.fork_of(session_id, result) if session["version"] else (None, None)
         cursor: dict[str, int] = {}
         session = dict(session)
@@ -193,9 +243,8 @@ class SessionFold(StatefulProcessor):
             key = dedup_key(m["role"], m["text"])
             nth = cursor.get(key, 0)
             cursor[key] = nth + 1
-            names = [f.split()[0] for f in STORED.split(", ")]
-            if self.messages.containsKey((key, nth)):
-                stored = {k: plain(v) for k, v in zip(names, self.messages.getValue((key, nth)))}
+            stored = batch.row(key, nth)
+            if stored is not None:
                 row = merged(stored, m)
                 if row == stored:
                     continue
@@ -203,8 +252,7 @@ class SessionFold(StatefulProcessor):
                 said = threading_of(m["content_json"])
                 branch = said.get("branch_id") or said.get("current_branch_id") or fork[0] or MAIN
                 parent = said.get("parent_message_id") or (fork[1] if branch == fork[0] else None)
-                turn = int(self.turns.getValue((branch,))[0]) if self.turns.containsKey((branch,)) else 0
-                self.turns.updateValue((branch,), (turn + 1,))
+                turn = batch.next_turn(branch)
                 ts = m["ts"] or result["created_at"]
                 row = {"id": short(session_id, key, nth), "role": m["role"], "text": m["text"], "content_json": m["content_json"], "model_name": m["model_name"], "token_estimate": m["token_estimate"] or estimated(m["text"]), "ts": ts, "branch_id": branch, "branch_parent_id": parent, "turn_index": turn, "pair_id": result["pair_id"]}
                 session["message_count"] += 1
@@ -213,7 +261,7 @@ class SessionFold(StatefulProcessor):
                     at = (m["parent_uuid"], m["role"] or "")
                     ids, hashes, times = (list(x) for x in self.children.getValue(at)) if self.children.containsKey(at) else ([], [], [])
                     self.children.updateValue(at, (ids + [row["id"]], hashes + [short(m["text"] or "")], times + [ts or 0.0]))
-            self.messages.updateValue((key, nth), tuple(row[n] for n in names))
+            batch.put(key, nth, row)
             changed["message", row["id"]] = {"kind": "message", "session_id": session_id, "version": session["version"] + 1} | row
         return session
 
@@ -233,26 +281,19 @@ class SessionFold(StatefulProcessor):
         return (short(session_id, "branch", sibling, result["pair_id"]), sibling) if sibling else (None, None)
 
 
-def plain(v: object) -> object:
-    """Values that come through pandas as Python's own; missing ones as None."""
-    if v is None or v is pd.NaT or isinstance(v, float) and v != v:
-        return None
-    return v.item() if hasattr(v, "item") else v
-
-
 def as_dict(m: object) -> dict:
     return m.asDict() if hasattr(m, "asDict") else dict(m)
 
 
 def listed(v: object) -> list:
-    return [] if v is None or isinstance(v, float) else list(v)
+    return [] if v is None else list(v)
 
 
 def changes(results: DataFrame) -> DataFrame:
     """The changed rows (CHANGE) that a stream of results (RESULT) makes in its sessions' state."""
     own = F.when(F.coalesce("session_key", F.lit("")) != "", F.concat(F.lit("key:"), "session_key")).otherwise(F.concat(F.lit("pair:"), F.coalesce("pair_id", F.lit(""))))
     keyed = results.withColumn("fold_key", own)
-    return keyed.groupBy("fold_key").transformWithStateInPandas(SessionFold(), CHANGE, "update", "none")
+    return keyed.groupBy("fold_key").transformWithState(SessionFold(), CHANGE, "update", "none")
 
 
 def merge_into(folder: str) -> Callable[[DataFrame, int], None]:

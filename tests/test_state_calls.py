@@ -3,7 +3,9 @@
 import collections
 import json
 
-from colloquy.streaming import patches
+from pyspark.sql import Row
+
+from colloquy.streaming import patches, store
 
 
 class Kept:
@@ -72,3 +74,14 @@ def test_folding_of_many_early_events():
     assert list(fold.handleInputRows(("s",), iter(rows[501:]), None)) == []
     got = list(fold.handleInputRows(("s",), iter(rows[:501]), None))
     assert [r["text"] for r in got] == ["x" + "y" * 998] and sum(handle.calls.values()) < 20
+
+
+def test_a_session_is_read_at_once():
+    handle, fold = Handle(), store.SessionFold()
+    fold.init(handle)
+    message = lambda i: {"role": "user", "text": f"text {i}", "ts": 1.0 + i} | dict.fromkeys(("content_json", "model_name", "token_estimate", "parent_uuid"))
+    result = Row(session_key="s", pair_id="p", source_id="x", created_via="x", created_at=1.0, provider="x", tool_family="api", title_hint="t", messages=[Row(**message(i)) for i in range(200)])
+    assert len(list(fold.handleInputRows(("key:s",), iter([result]), None))) == 201
+    assert handle.calls["updateValue"] == 201 and sum(handle.calls.values()) < 210
+    handle.calls.clear()
+    assert list(fold.handleInputRows(("key:s",), iter([result, result]), None)) == [] and sum(handle.calls.values()) < 10
