@@ -19,6 +19,7 @@ Null bodies are no bodies; null flags are false; events of an unknown kind are d
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,26 +40,43 @@ class Exchanges:
 
     def __init__(self, pending: dict[int, dict], ttl: float, most: int, known_hosts_only: bool):
         self.pending, self.ttl, self.most, self.known_hosts_only = pending, ttl, most, known_hosts_only
-        self.out: list[dict] = []
+        self.out: list[tuple] = []
+        self.stored = set(pending)
         self.touched: set[int] = set()
+        #: Pending exchanges by age; those that changed since are passed over.
+        self.ages = [(e["at"], e["seq"], s) for s, e in pending.items()]
+        heapq.heapify(self.ages)
+
+    def oldest(self) -> tuple[float, int, int] | None:
+        while self.ages:
+            at, seq, stream = self.ages[0]
+            entry = self.pending.get(stream)
+            if entry is not None and entry["at"] == at and entry["seq"] == seq:
+                return self.ages[0]
+            heapq.heappop(self.ages)
+        return None
+
+    def keep(self, stream: int) -> None:
+        entry = self.pending[stream]
+        self.touched.add(stream)
+        heapq.heappush(self.ages, (entry["at"], entry["seq"], stream))
 
     def emit(self, stream: int, entry: dict) -> None:
-        self.touched.add(stream)
         kind = "pair" if entry["request_at"] is not None and entry["response_at"] is not None else "orphan_request" if entry["request_at"] is not None else "orphan_response"
-        self.out.append({"stream": stream, "outcome": kind} | {k: entry[k] for k in ("request_at", "response_at", "host", "request_body", "response_body")})
+        self.out.append((stream, kind, *(entry[k] for k in ("request_at", "response_at", "host", "request_body", "response_body"))))
 
     def expire(self, now: float) -> None:
-        for stream in [s for s, e in self.pending.items() if now - e["at"] > self.ttl]:
-            self.emit(stream, self.pending.pop(stream))
+        while (first := self.oldest()) is not None and now - first[0] > self.ttl:
+            self.emit(first[2], self.pending.pop(first[2]))
 
     def take(self, event: dict) -> None:
         self.expire(event["ts"])
         stream, ts, entry = event["stream"], event["ts"], self.pending.get(event["stream"])
-        self.touched.add(stream)
         if event["kind"] == "request":
             self.pending[stream] = {"seq": event["seq"], "at": ts, "request_at": ts, "response_at": None, "host": event["host"], "request_body": event["body"], "response_body": None, "is_http2": event["is_http2"]}
+            self.keep(stream)
             while len(self.pending) > self.most:
-                oldest = min(self.pending, key=lambda s: (self.pending[s]["at"], self.pending[s]["seq"], s))
+                oldest = self.oldest()[2]
                 self.emit(oldest, self.pending.pop(oldest))
         elif event["kind"] == "response":
             if entry is None:
@@ -68,10 +86,14 @@ class Exchanges:
             entry |= {"response_at": ts, "at": ts, "response_body": entry["response_body"] or event["body"]}
             if not event["is_http2"] or event["end_stream"]:
                 self.emit(stream, self.pending.pop(stream))
+            else:
+                self.keep(stream)
         elif event["kind"] == "data" and entry is not None:
             entry |= {"response_body": event["body"] or entry["response_body"], "at": ts}
             if event["end_stream"] and entry["response_at"] is not None:
                 self.emit(stream, self.pending.pop(stream))
+            else:
+                self.keep(stream)
 
 
 class Pairing(StatefulProcessor):
@@ -87,22 +109,22 @@ class Pairing(StatefulProcessor):
         return Exchanges({int(k[0]): {n: clean(x) for n, x in zip(_FIELDS, v)} for k, v in self.state.iterator()}, *self.rules)
 
     def saved(self, key: tuple, now: Exchanges) -> pd.DataFrame:
-        for stream in now.touched:
-            if stream in now.pending:
-                entry = now.pending[stream]
-                self.state.updateValue((stream,), tuple(entry[n] for n in _FIELDS))
-                self.handle.registerTimer(int((entry["at"] + now.ttl) * 1000) + 1)
-            elif self.state.containsKey((stream,)):
-                self.state.removeKey((stream,))
+        # Most exchanges begin and end in one batch: state never knew them.
+        for stream in now.stored - now.pending.keys():
+            self.state.removeKey((stream,))
+        for stream in now.touched & now.pending.keys():
+            entry = now.pending[stream]
+            self.state.updateValue((stream,), tuple(entry[n] for n in _FIELDS))
+            self.handle.registerTimer(int((entry["at"] + now.ttl) * 1000) + 1)
         names = [f.split()[0] for f in EXCHANGE.split(", ")]
-        return pd.DataFrame([{"connection": key[0]} | x for x in now.out], columns=names).astype(object)
+        return pd.DataFrame([(key[0], *x) for x in now.out], columns=names, dtype=object)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         now = self.exchanges()
         events = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
-        for e in events.to_dict("records"):
-            text = {c: e[c] if isinstance(e[c], str) else None for c in ("host", "body", "kind")}
-            now.take(text | {"stream": int(e["stream"]), "seq": int(e["seq"]), "ts": pd.Timestamp(e["ts"]).timestamp(), "is_http2": e["is_http2"] is True or e["is_http2"] == 1, "end_stream": e["end_stream"] is True or e["end_stream"] == 1})
+        for stream, seq, kind, ts, http2, ended, host, body in zip(*(events[c] for c in ("stream", "seq", "kind", "ts", "is_http2", "end_stream", "host", "body")), strict=True):
+            host, body = (c if isinstance(c, str) else None for c in (host, body))
+            now.take({"stream": int(stream), "seq": int(seq), "kind": kind, "ts": ts.timestamp(), "is_http2": bool(http2), "end_stream": bool(ended), "host": host, "body": body})
         yield self.saved(key, now)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:

@@ -3,9 +3,10 @@
 import collections
 import json
 
+import pandas as pd
 from pyspark.sql import Row
 
-from colloquy.streaming import patches, store
+from colloquy.streaming import pairing, patches, store
 
 
 class Kept:
@@ -85,3 +86,12 @@ def test_a_session_is_read_at_once():
     assert handle.calls["updateValue"] == 201 and sum(handle.calls.values()) < 210
     handle.calls.clear()
     assert list(fold.handleInputRows(("key:s",), iter([result, result]), None)) == [] and sum(handle.calls.values()) < 10
+
+
+def test_exchanges_within_a_batch_leave_state_alone():
+    handle, fold = Handle(), pairing.Pairing(30.0, 1000, False)
+    fold.init(handle)
+    rows = [(i, s, k, pd.Timestamp(1_700_000_000 + i, unit="s"), False, False, "h", None) for i in range(300) for s, k in ((0, "request"), (1, "response"))]
+    frame = pd.DataFrame(rows + [(999, 0, "request", pd.Timestamp(1_700_000_300, unit="s"), False, False, None, "b")], columns="stream seq kind ts is_http2 end_stream host body".split())
+    (got,) = fold.handleInputRows(("c",), iter([frame]), None)
+    assert list(got["outcome"]) == ["pair"] * 300 and sum(handle.calls.values()) < 5
