@@ -10,8 +10,8 @@ halves (1 or 16 of them), and at each anchor the fingerprints at home are compar
 An anchor compares its rows in slices of the sorted order, in numpy. At an anchor with more than `DIRECT` rows pairs
 would grow with the square, so its rows are linked through midpoints instead, which is exact as well: two fingerprints
 are within two bits iff some word lies within one bit of both, so each row goes to the 65 words around it and is linked
-to the smallest fingerprint there. Links are between distinct fingerprints; components come from min-label propagation
-with hooking over joins that adaptive execution may split.
+to the smallest fingerprint there. Links are between distinct fingerprints; components come from rounds that hang each
+node on its least neighbour and merge what hangs together, over joins that adaptive execution may split.
 
 Defined cases: null and empty texts (no words) have fingerprint zero and link as any other; texts of one or two words
 are one shingle; repeated rows and null ids are kept, and ids in a component count as its name if not null; very long
@@ -195,37 +195,71 @@ def linked(fps: DataFrame, threshold: int = 2) -> DataFrame:
     return direct.unionByName(through_midpoints(cut(hot.distinct()))).distinct()
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, label (the smallest node of its component) for all nodes of links (a, b); what the rounds shuffled is let go."""
-    labels = settled(links, max_rounds)
+def components(links: DataFrame, max_rounds: int = 60, known: DataFrame | None = None) -> DataFrame:
+    """node, label (the smallest node of its component) for all nodes of links (a, b); what the rounds shuffled is let go.
+
+    known: such labels of other links; the result holds for these links and those together, and for the nodes of both.
+    """
+    labels = settled(links, max_rounds, known)
     tidy(links.sparkSession)
     return labels
 
 
-def settled(links: DataFrame, max_rounds: int) -> DataFrame:
+def settled(links: DataFrame, max_rounds: int, known: DataFrame | None = None) -> DataFrame:
     """The labels of `components`.
 
-    Each round gives every node the least label of its neighbours, hooks the old label's node on it, and follows labels
-    once; sums are pre-aggregated, and both sides of each join are cut, so a node with very many links can be split.
-    The tables of the rounds have as many parts as their rows need, whatever the session's number of shuffle partitions.
+    Each round hangs every node on the least of its neighbours, follows these to the end, and puts the ends in the place of
+    the nodes. Links inside what has come together go then, and so do repeated ones, so a dense group costs its links once
+    and not in each round; two rounds leave half of the nodes at most. Sums are pre-aggregated, and both sides of each join
+    are cut, so a node with very many links can be split. The tables of the rounds have as many parts as their rows need,
+    whatever the session's number of shuffle partitions.
     """
-    rows = 2 * links.count()
-    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), rows)
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), rows)
+    rest = links.select("a", "b")
+    rows = 2 * rest.count()
+    steps = []
+    if known is not None:
+        own = rest.select(F.explode(F.array("a", "b")).alias("node")).select("node", F.col("node").alias("label"))
+        of_all = rows + known.count()
+        steps.append((cut(known.select("node", "label").unionByName(own).groupBy("node").agg(F.min("label").alias("label")), of_all), of_all))
+        rest, rows = replaced(rest, steps[-1][0], rows)
     for _ in range(max_rounds):
-        seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label")
-        least = seen.unionByName(labels).groupBy("node").agg(F.min("label").alias("new"))
-        hooked = cut(least.join(labels, "node").select("node", "label", "new"), rows)
-        moved = hooked.where("new < label").select(F.col("label").alias("node"), "new")
-        best = cut(hooked.select("node", "new").unionByName(moved).groupBy("node").agg(F.min("new").alias("label")), rows)
-        jumped = best.select("node", F.col("label").alias("via")).join(best.select(F.col("node").alias("via"), F.col("label").alias("far")), "via", "left").select("node", F.least("via", "far").alias("label"))
-        after = cut(jumped, rows)
-        if after.join(labels.select("node", F.col("label").alias("old")), "node").where("label <> old").isEmpty():
-            return after
-        labels = after
+        if not rows and steps:
+            labels, _ = steps.pop()
+            while steps:
+                labels = followed(*steps.pop(), labels)
+            return labels
+        both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), rows)
+        steps.append((ends(least, rows), rows))
+        rest, rows = replaced(rest, steps[-1][0], rows)
     raise RuntimeError("components did not settle")
 
 
+def followed(labels: DataFrame, rows: int, more: DataFrame) -> DataFrame:
+    """labels, each in turn with its label in more, if it has one."""
+    far = more.select(F.col("node").alias("via"), F.col("label").alias("far"))
+    return cut(labels.select("node", F.col("label").alias("via")).join(far, "via", "left").select("node", F.coalesce("far", "via").alias("label")), rows)
+
+
+def ends(labels: DataFrame, rows: int) -> DataFrame:
+    """labels (a smaller node or itself for each node) followed to the nodes that are their own; each pass doubles the way."""
+    while True:
+        far = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
+        after = cut(labels.select("node", F.col("label").alias("via")).join(far, "via").select("node", F.col("far").alias("label"), (F.col("far") < F.col("via")).alias("moved")), rows)
+        if after.where("moved").isEmpty():
+            return labels
+        labels = after.select("node", "label")
+
+
+def replaced(links: DataFrame, labels: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """Distinct links (a < b) of the labels in place of the nodes, and twice their number."""
+    for x in "ab":
+        links = links.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")), x)
+    between = links.where("label_a <> label_b").select(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b"))
+    rest = cut(between.distinct(), rows)
+    return rest, 2 * rest.count()
+
+
 def classes(nodes: DataFrame, threshold: int = 2) -> DataFrame:
     """nodes (distinct fp, further columns) with label, the smallest fingerprint of their component."""
     labels = components(cut(linked(nodes, threshold)))

@@ -521,6 +521,42 @@ def test_long_chain_of_links(spark):
     assert {r.node: r.label for r in simhash.components(links).collect()} == dict.fromkeys(range(301), 0) | {1000: 1000, 1001: 1000}
 
 
+def joined_rows(spark, run):
+    """What run returns, and the rows that all joins made meanwhile."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = store.executionsCount()
+    found = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    rows, every = 0, store.executionsList(before, 100_000)
+    for i in range(every.size()):
+        k = every.apply(i).executionId()
+        values, nodes = store.executionMetrics(k), store.planGraph(k).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            for metric in (node.metrics().apply(j) for j in range(node.metrics().size())):
+                if "Join" in node.name() and metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    rows += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return found, rows
+
+
+def test_dense_groups_cost_their_links_once(spark):
+    """Rounds work on what has not come together, and labels go on from known ones."""
+    rng = np.random.default_rng(3)
+    groups = rng.integers(0, 1 << 62, (6, 200)).tolist()
+    pairs = [(min(x, y), max(x, y)) for g in groups for i, x in enumerate(g) for y in g[i + 1 : i + 16]]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    want = {x: min(g) for g in groups for x in g}
+    got, rows = joined_rows(spark, lambda: {r.node: r.label for r in simhash.components(links).collect()})
+    assert got == want
+    assert len(pairs) <= rows <= 2 * len(pairs)
+    known = simhash.components(links)
+    more = spark.createDataFrame([(groups[0][5], groups[1][7]), (groups[1][2], groups[2][3]), (5, groups[3][0]), (7, 8)], "a long, b long")
+    got = {r.node: r.label for r in simhash.components(more, known=known).collect()}
+    first = min(map(min, groups[:3]))
+    assert got == want | {x: first for g in groups[:3] for x in g} | dict.fromkeys([5, *groups[3]], 5) | {7: 7, 8: 7}
+    assert {r.node: r.label for r in simhash.components(more.limit(0), known=known).collect()} == want
+
+
 def test_pipeline(spark, docs):
     """The stages one by one against what each decides, then the run as a whole."""
     import corpus_pipeline
