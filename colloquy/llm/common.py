@@ -46,11 +46,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder; of about so many narrow rows, in no more files than they need."""
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the shared folder.
+
+    A checkpoint keeps the estimated size of the plan that it cuts, and a join's estimate is the product of its sides'. Where
+    cuts are joined again and again, use `narrow`.
+    """
     shared_folder(df.sparkSession)
-    if rows is not None:
-        df = df.coalesce(max(1, -(-rows // TASK_ROWS)))
     return df.checkpoint(eager=True)
 
 
@@ -61,6 +63,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def narrow(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """`written`, of about so many rows of a few numbers, in no more files than they need; for rounds of joins.
+
+    The size that Spark plans with is that of the files. Joined in rounds, checkpoints would double the digits of theirs in
+    each round: after twenty, one such number takes megabytes of the driver's memory.
+    """
+    return written(df.coalesce(max(1, -(-rows // TASK_ROWS))), name)
+
+
 def tidy(spark: SparkSession) -> None:
     """Collects garbage on the driver, so that Spark's cleaner removes the shuffles of results that were cut and let go.
 

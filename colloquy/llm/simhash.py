@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import cut, free_name, tidy, written
+from .common import cut, free_name, narrow, tidy, written
 
 SEED = 42
 SHINGLE = 3
@@ -211,7 +211,7 @@ def settled(links: DataFrame, max_rounds: int, known: DataFrame | None = None) -
     Each round hangs every node on the least of its neighbours, follows these to the end, and puts the ends in the place of
     the nodes. Links inside what has come together go then, and so do repeated ones, so a dense group costs its links once
     and not in each round; two rounds leave half of the nodes at most. Sums are pre-aggregated, and both sides of each join
-    are cut, so a node with very many links can be split. The tables of the rounds have as many parts as their rows need,
+    are read from files, so a node with very many links can be split, and sizes are those of the files. The tables of the rounds have as many parts as their rows need,
     whatever the session's number of shuffle partitions.
     """
     rest = links.select("a", "b")
@@ -220,7 +220,7 @@ def settled(links: DataFrame, max_rounds: int, known: DataFrame | None = None) -
     if known is not None:
         own = rest.select(F.explode(F.array("a", "b")).alias("node")).select("node", F.col("node").alias("label"))
         of_all = rows + known.count()
-        steps.append((cut(known.select("node", "label").unionByName(own).groupBy("node").agg(F.min("label").alias("label")), of_all), of_all))
+        steps.append((narrow(known.select("node", "label").unionByName(own).groupBy("node").agg(F.min("label").alias("label")), "labels", of_all), of_all))
         rest, rows = replaced(rest, steps[-1][0], rows)
     for _ in range(max_rounds):
         if not rows and steps:
@@ -229,7 +229,7 @@ def settled(links: DataFrame, max_rounds: int, known: DataFrame | None = None) -
                 labels = followed(*steps.pop(), labels)
             return labels
         both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), rows)
+        least = narrow(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), "labels", rows)
         steps.append((ends(least, rows), rows))
         rest, rows = replaced(rest, steps[-1][0], rows)
     raise RuntimeError("components did not settle")
@@ -238,14 +238,14 @@ def settled(links: DataFrame, max_rounds: int, known: DataFrame | None = None) -
 def followed(labels: DataFrame, rows: int, more: DataFrame) -> DataFrame:
     """labels, each in turn with its label in more, if it has one."""
     far = more.select(F.col("node").alias("via"), F.col("label").alias("far"))
-    return cut(labels.select("node", F.col("label").alias("via")).join(far, "via", "left").select("node", F.coalesce("far", "via").alias("label")), rows)
+    return narrow(labels.select("node", F.col("label").alias("via")).join(far, "via", "left").select("node", F.coalesce("far", "via").alias("label")), "labels", rows)
 
 
 def ends(labels: DataFrame, rows: int) -> DataFrame:
     """labels (a smaller node or itself for each node) followed to the nodes that are their own; each pass doubles the way."""
     while True:
         far = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        after = cut(labels.select("node", F.col("label").alias("via")).join(far, "via").select("node", F.col("far").alias("label"), (F.col("far") < F.col("via")).alias("moved")), rows)
+        after = narrow(labels.select("node", F.col("label").alias("via")).join(far, "via").select("node", F.col("far").alias("label"), (F.col("far") < F.col("via")).alias("moved")), "labels", rows)
         if after.where("moved").isEmpty():
             return labels
         labels = after.select("node", "label")
@@ -256,7 +256,7 @@ def replaced(links: DataFrame, labels: DataFrame, rows: int) -> tuple[DataFrame,
     for x in "ab":
         links = links.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")), x)
     between = links.where("label_a <> label_b").select(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b"))
-    rest = cut(between.distinct(), rows)
+    rest = narrow(between.distinct(), "links", rows)
     return rest, 2 * rest.count()
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import re
 import zlib
 
 import numpy as np
@@ -557,6 +558,23 @@ def test_dense_groups_cost_their_links_once(spark):
     assert {r.node: r.label for r in simhash.components(more.limit(0), known=known).collect()} == want
 
 
+def planned_size(capsys, df):
+    """The size that Spark plans with, as it prints it: a number and its unit."""
+    capsys.readouterr()
+    df.explain("cost")
+    return re.search(r"Statistics\(sizeInBytes=([^,)]+)", capsys.readouterr().out)[1].split()
+
+
+def test_planned_sizes_stay_small(spark, capsys):
+    """Rounds and calls that go on from known labels don't multiply the sizes that Spark plans with."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
+    labels = simhash.components(links)
+    labels = simhash.components(spark.createDataFrame([(60, 100), (200, 201)], "a long, b long"), known=labels)
+    assert {r.node: r.label for r in labels.collect()} == dict.fromkeys([*range(61), 100, 101], 0) | {200: 200, 201: 200}
+    number, unit = planned_size(capsys, labels)
+    assert float(number) * {"B": 1, "KiB": 1 << 10}[unit] < 1 << 20
+
+
 def test_pipeline(spark, docs):
     """The stages one by one against what each decides, then the run as a whole."""
     import corpus_pipeline
