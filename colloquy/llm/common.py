@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,13 +58,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Settings of the Parquet writer for rows of megabytes: a row group each, as by itself it looks at its buffers every 100 rows
+#: only; and no statistics, as it holds the least and the greatest value of each row group until a file ends.
+LARGE_ROWS = {"parquet.block.row.count.limit": "1", "parquet.column.statistics.enabled": "false", "parquet.enable.dictionary": "false"}
+
+
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write to the shared folder as Parquet and read it back: a compact lineage cut for wide or large rows."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, limit: str) -> Iterator[None]:
+    """Actions inside hand their tasks Arrow batches of about so many bytes, or of one longer row.
+
+    A batch exists up to four times at once: as Arrow vectors and as a stream, each with room to grow, and in the Python worker.
+    """
+    kind = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(kind, None)
+    spark.conf.set(kind, limit)
+    try:
+        yield
+    finally:
+        spark.conf.set(kind, before) if before else spark.conf.unset(kind)
+
+
 def narrow(df: DataFrame, name: str, rows: int) -> DataFrame:
     """`written`, of about so many rows of a few numbers, in no more files than they need; for rounds of joins.
 

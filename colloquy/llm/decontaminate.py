@@ -3,7 +3,9 @@
 The training texts are indexed in shards: each shard is one chunk of documents whose words are laid out in one long
 position space, with its vocabulary and, per word of it, the posting list of all its positions (`build_index`). A shard
 is a row, so the index is an ordinary table of about 0.7 times the texts' size; it is stored once, in the session's
-shared folder, and searched as often as there are blocks of test items, without another look at the texts. `search`
+shared folder, and searched as often as there are blocks of test items, without another look at the texts. A task holds
+a few shards at once, however many it has: each is a row group of its own, Arrow batches are small, and places are
+looked at `candidates` at a time. `search`
 intersects, shard by shard, the offset-adjusted posting lists of every test window by binary search, from the window's
 rarest term in that shard to its most common one, and so finds every exact occurrence; a window whose (up to) three
 rarest terms, by their counts in the whole test set, are in a document, the second and third within `slop` words of the
@@ -35,11 +37,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, free_name, words_of, written
+from .common import LARGE_ROWS, arrow_batches, chunks, free_name, words_of, written
 
 #: Text of the test items that one pass carries.
 BLOCK_BYTES = 2 << 20
 
+#: Documents or shards that a task of the index or of a search gets at once.
+BATCH = "8m"
+
 INDEX_SCHEMA = "rows array<long>, ids array<long>, bounds binary, words binary, starts binary, positions binary"
 HIT_SCHEMA = "row long, doc_id long, n_words long, spans array<long>, items array<string>, near_items array<string>"
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -131,6 +136,21 @@ def expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - counts - starts, counts)
 
 
+def pieces(starts: np.ndarray, counts: np.ndarray, limit: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The ranges starts[i] .. starts[i] + counts[i] in pieces of at most limit places, within a range too: from and to which range, starts and counts."""
+    ends = np.cumsum(counts)
+    total = int(ends[-1]) if len(ends) else 0
+    for low in range(0, total, limit):
+        high = min(low + limit, total)
+        a, b = int(np.searchsorted(ends, low, side="right")), int(np.searchsorted(ends, high)) + 1
+        begin, n = starts[a:b].copy(), counts[a:b].copy()
+        done = low - (ends[a] - counts[a])
+        begin[0] += done
+        n[0] -= done
+        n[-1] -= ends[b - 1] - high
+        yield a, b, begin, n
+
+
 def proximity(test: TestSet, first: np.ndarray, count: np.ndarray, key: np.ndarray, n_positions: int, positions: np.ndarray, slop: int, bounds: np.ndarray, candidates: int) -> tuple[np.ndarray, np.ndarray]:
     """(item, document) where all rarest terms of a window are within slop of the rarest one; its other words don't matter."""
     none = np.zeros(0, np.int64)
@@ -138,10 +158,9 @@ def proximity(test: TestSet, first: np.ndarray, count: np.ndarray, key: np.ndarr
     terms = np.where(test.near[:, 1:] >= 0, test.near[:, 1:], size)
     live = np.flatnonzero(((count[terms] > 0) | (terms == size)).all(axis=1))
     found = [np.stack([none, none])]
-    for a, b in chunks(count[terms[live, 0]].tolist(), candidates):
-        n = count[terms[live[a:b], 0]]
+    for a, b, begin, n in pieces(first[terms[live, 0]], count[terms[live, 0]], candidates):
         row = np.repeat(live[a:b], n)
-        at = positions[expand(first[terms[live[a:b], 0]], n)].astype(np.int64)
+        at = positions[expand(begin, n)].astype(np.int64)
         doc = np.searchsorted(bounds, at, side="right") - 1
         for k in range(1, terms.shape[1]):
             other = terms[row, k]
@@ -155,8 +174,11 @@ def proximity(test: TestSet, first: np.ndarray, count: np.ndarray, key: np.ndarr
     return tuple(np.unique(np.concatenate(found, axis=1), axis=1))
 
 
-def intersect(test: TestSet, n_positions: int, terms: np.ndarray, starts: np.ndarray, positions: np.ndarray, slop: int, bounds: np.ndarray, candidates: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Exact matches (window, start) and proximity matches (item, document) of one shard."""
+def intersect(test: TestSet, n_positions: int, terms: np.ndarray, starts: np.ndarray, positions: np.ndarray, slop: int, bounds: np.ndarray, candidates: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Exact matches (window, start) and proximity matches (item, document) of one shard.
+
+    candidates: so many places are looked at in one step at most.
+    """
     none = np.zeros(0, np.int64)
     if not len(terms) or not len(test.windows):
         return none, none, none, none
@@ -169,29 +191,28 @@ def intersect(test: TestSet, n_positions: int, terms: np.ndarray, starts: np.nda
     if slop:
         near_i, near_d = proximity(test, first, count, key, n_positions, positions, slop, bounds, candidates)
     at = np.where(test.windows >= 0, test.windows, size)
-    lists = np.where(test.windows >= 0, count[at], np.iinfo(np.int64).max)
+    there = count > 0
+    there[size] = True
+    live = np.flatnonzero(there[at].all(axis=1))  # a term without postings here: no match here
+    lists = np.where(test.windows[live] >= 0, count[at[live]], np.iinfo(np.int64).max)
     order = np.argsort(lists, axis=1, kind="stable")  # rarest first; padding last
-    live = np.flatnonzero(lists.min(axis=1) > 0)
-    live = live[(lists[live] > 0).all(axis=1)]  # a term without postings here: no match here
+    offsets = order[:, 0]
+    rarest = test.windows[live, offsets]
     found_w, found_s = [none], [none]
-    rare = lists[live, order[live, 0]]
-    for a, b in chunks(rare.tolist(), candidates):
-        w = live[a:b]
-        offset = order[w, 0]
-        term = test.windows[w, offset]
-        begin = positions[expand(first[term], count[term])] - np.repeat(offset, count[term])
-        window = np.repeat(w, count[term])
+    for a, b, begin, n in pieces(first[rarest], count[rarest], candidates):
+        row = np.repeat(np.arange(a, b), n)
+        begin = positions[expand(begin, n)] - offsets[row]
         # An occurrence that would leave the shard is none.
-        ok = (begin >= 0) & (begin + test.lengths[window] <= n_positions)
-        begin, window = begin[ok], window[ok]
+        ok = (begin >= 0) & (begin + test.lengths[live[row]] <= n_positions)
+        begin, row = begin[ok], row[ok]
         for k in range(1, test.windows.shape[1]):
-            place = order[window, k]
-            term = test.windows[window, place]
+            place = order[row, k]
+            term = test.windows[live[row], place]
             # In the term's list, adjusted by its offset in the window?
             wanted = np.maximum(term, 0) * np.int64(n_positions + 1) + begin + place
             ok = (term < 0) | (key[np.minimum(np.searchsorted(key, wanted), len(key) - 1)] == wanted)
-            begin, window = begin[ok], window[ok]
-        found_w.append(window)
+            begin, row = begin[ok], row[ok]
+        found_w.append(live[row])
         found_s.append(begin)
     return np.concatenate(found_w), np.concatenate(found_s), near_i, near_d
 
@@ -271,8 +292,9 @@ def merge(found: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, row (a number per input row), n_words, n_hit, spans, items, near_items: one row per document."""
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    index = written(build_index(keyed), "positional-index")
-    found = [search(index, test, slop) if last and not k else written(search(index, test, slop), "hits") for k, last, test in tests_of(benchmark, window, block_bytes)]
+    with arrow_batches(docs.sparkSession, BATCH):
+        index = written(build_index(keyed), "positional-index", **LARGE_ROWS)
+        found = [written(search(index, test, slop), "hits") for _, _, test in tests_of(benchmark, window, block_bytes)]
     hits = found[0]
     if len(found) > 1:
         # A document is a row of the first block's hits; of the others only matches count.
